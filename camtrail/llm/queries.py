@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
 from camtrail.llm.storage import new_path
-from camtrail.llm.tables import documents
+from camtrail.llm.tables import documents, table
 from camtrail.llm.token_counts import token_counts
 from camtrail.llm.token_files import read_tokens, token_digests, write_tokens
 
@@ -27,9 +28,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    )
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op6_decontaminate, op10_bpe_encode_decode)}
 ORACLE_SQL: dict[str, str] = {}
