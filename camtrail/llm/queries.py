@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
+from camtrail.llm.repeats import deduplicated
 from camtrail.llm.storage import new_path
 from camtrail.llm.tables import documents, table
 from camtrail.llm.token_counts import token_counts
@@ -36,9 +37,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op6_decontaminate, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op6_decontaminate, op8_repeated_bytes, op10_bpe_encode_decode)}
 ORACLE_SQL: dict[str, str] = {}
