@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
+from camtrail.llm.ngram_join import jaccard_components
 from camtrail.llm.repeats import deduplicated
 from camtrail.llm.storage import new_path
 from camtrail.llm.tables import documents, table
@@ -18,6 +19,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_tokens(documents(spark, sf_dir), path, BYTE_BPE, end_id=0)
@@ -46,5 +51,5 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op6_decontaminate, op8_repeated_bytes, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op6_decontaminate, op8_repeated_bytes, op10_bpe_encode_decode)}
 ORACLE_SQL: dict[str, str] = {}
