@@ -14,6 +14,7 @@ from camtrail.llm.storage import new_path
 from camtrail.llm.tables import documents, table
 from camtrail.llm.token_counts import token_counts
 from camtrail.llm.token_files import read_tokens, token_digests, write_tokens
+from camtrail.llm.vector_search import top_k
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
@@ -42,6 +43,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
@@ -51,5 +56,19 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op6_decontaminate, op8_repeated_bytes, op10_bpe_encode_decode)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op10_bpe_encode_decode)}
+ORACLE_SQL = {
+    "op7_exact_top_k": """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+}
