@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
+from camtrail.llm.language_id import fit, predict, remainder
 from camtrail.llm.ngram_join import jaccard_components
+from camtrail.llm.private_data import KINDS, personal_data, span_text
 from camtrail.llm.repeats import deduplicated
 from camtrail.llm.storage import new_path
 from camtrail.llm.tables import documents, table
@@ -35,6 +37,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def _of_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("term"))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -52,11 +65,18 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    found = predict(docs, fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode)}
 ORACLE_SQL = {
     "op7_exact_top_k": """
 WITH good AS (

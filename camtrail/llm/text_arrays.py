@@ -54,12 +54,13 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """start, end: byte positions of each word; first: index of each text's first word, and of the end."""
+    """start, end: byte positions of each word; first: index of each text's first word, and of the end; text: where texts start."""
 
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    text: np.ndarray
 
 
 def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
@@ -69,12 +70,12 @@ def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
     inside = kind[data].view(np.int8)
     if not len(data):
         nothing = np.zeros(0, np.int64)
-        return Words(nothing, nothing, np.zeros(len(offsets), np.int64), nothing.astype(np.uint64))
+        return Words(nothing, nothing, np.zeros(len(offsets), np.int64), nothing.astype(np.uint64), offsets)
     change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         change = np.concatenate([[0], change])
     start, end = change[::2], change[1::2]  # the last byte is a space, so every word ends
-    return Words(start, end, np.searchsorted(start, offsets), _hashes(data, start, end))
+    return Words(start, end, np.searchsorted(start, offsets), _hashes(data, start, end), offsets)
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
