@@ -23,6 +23,12 @@ def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def without_rows(rows: DataFrame, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """rows (with row_id) but those of a written table of row_id; few ids are broadcast, which leaves the texts in place."""
+    few = gone.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(gone) if few else gone, "row_id", "left_anti")
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about most_bytes of the column, or a single row."""
     for batch in batches:
