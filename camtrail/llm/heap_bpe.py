@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from camtrail.llm.bpe_words import EMPTY, PIECES, PieceMemo, as_u32, latin_bytes
 
@@ -119,7 +120,7 @@ def _coded(model: str, passed: tuple[str, ...], digests: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = heap_bpe(model)
         for batch in batches:
-            encoded = [bpe.encode(text) for text in batch["text"].to_pylist()]
+            encoded = [bpe.encode(text) for text in batch["__text"].to_pylist()]
             counts = pa.array([len(x) // 4 for x in encoded], pa.int64())
             if digests:
                 own = [pa.array([hashlib.sha256(x).hexdigest() for x in encoded]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in encoded])]
@@ -142,4 +143,4 @@ def encode_decode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
     """
     kept = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
     own = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(*keep, "text").mapInArrow(_coded(model, keep, digests), f"{kept}, n_tokens long, {own}")
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(_coded(model, keep, digests), f"{kept}, n_tokens long, {own}")
