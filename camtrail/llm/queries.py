@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from camtrail.llm.context_mixing import text_scores
 from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
 from camtrail.llm.language_id import fit, predict, remainder
@@ -26,6 +27,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 10) == 0
+    found = text_scores(documents(spark, sf_dir), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits", "bits_per_byte")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_tokens(documents(spark, sf_dir), path, BYTE_BPE, end_id=0)
@@ -76,7 +83,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode)}
 ORACLE_SQL = {
     "op7_exact_top_k": """
 WITH good AS (
