@@ -26,7 +26,7 @@ SAMPLE = 400
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.5
-FAR = 0.04
+FAR = 0.02
 UNKNOWN = "und"
 _LETTER = np.where(np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]), LOWER, 0x20).astype(np.uint32)
 
