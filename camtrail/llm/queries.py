@@ -24,7 +24,7 @@ TOKEN_LIMIT = 1024
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

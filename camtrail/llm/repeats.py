@@ -8,8 +8,11 @@ bucket-pointer refinement of suffixes, with hashes as bucket identifiers so that
    positions. A unit is an anchor with the run of strings that it anchors.
 2. A bucket is refined by the identifier of what lies around the anchor, the unit's whole stretch. Units alike in it
    hold the same strings: all but the first are removed. A bucket that is not split by this is done with.
-3. In a split bucket every single string gets its identifier, by the same sums over bytes (bucket identifiers at
-   later offsets combined), and all but the first of each are removed.
+3. The units of split buckets are cut into runs of RUN strings, aligned to the anchor. Their buckets are refined by
+   the identifier of what all strings of a run have in common, at its offset from the anchor; runs are then compared
+   as units were, and most buckets hold one run now.
+4. In buckets that are still split every single string gets its identifier, by the same sums over bytes, and all but
+   the first of each are removed.
 
 Before each shuffle a batch keeps one unit, or string, of those alike, and one row for each bucket that it has split
 itself: a passage that a third of all documents share sends a few rows a batch. Nothing is capped or sampled.
@@ -31,6 +34,7 @@ from camtrail.llm.text_arrays import joined, mixed, powers
 
 LENGTH = 100
 GRAM = 32
+RUN = 8
 BATCH_BYTES = 24 << 20
 STRING_BATCH_BYTES = 6 << 20
 BROADCAST_ROWS = 2_000_000
@@ -38,7 +42,7 @@ _PIECE = 1 << 16
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: state: 0 a unit to be compared by bucket, 1 a sign that a bucket is split, 2 a unit of a split bucket, 3 removed.
-_UNIT_SCHEMA = "bucket long, stretch long, doc_id long, row_id long, low long, high long, state byte"
+_UNIT_SCHEMA = "bucket long, stretch long, doc_id long, row_id long, low long, high long, lead int, state byte"
 _STRING_SCHEMA = "string long, doc_id long, row_id long, low long, high long"
 UNIT, SIGN, SPLIT, REMOVED = range(4)
 
@@ -58,7 +62,7 @@ class Sums:
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Bucket, stretch identifier, first and last string start of each unit. Texts are as joined() has them."""
+    """Bucket, stretch identifier, first and last string start and the last one's distance to the anchor, of each unit. Texts are as joined() has them."""
     grams = length - gram + 1
     keeper = Sums(_PIECE + length)
     found = []
@@ -85,9 +89,9 @@ def units_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         last = np.append(first[1:], len(anchor)) - 1
         keep = valid[first]
         first, last = first[keep], last[keep]
-        found.append((ids[anchor[first]], keeper.stretch(sums, first, last + length), first + low, last + low))
+        found.append((ids[anchor[first]], keeper.stretch(sums, first, last + length), first + low, last + low, anchor[first] - last))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -122,36 +126,71 @@ def _merged(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return text[first], low[first], reach[np.append(first[1:], len(low)) - 1] - shift[first]
 
 
+def runs_of(data: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarray, length: int, run: int) -> tuple[np.ndarray, ...]:
+    """Units, given by first and last string start and lead, cut into runs; as units_of() gives units."""
+    anchor, far = high + lead, lead + high - low  # distances to the anchor go from lead to far
+    pieces = far // run - lead // run + 1
+    of = np.repeat(np.arange(len(low)), pieces)
+    piece = lead[of] // run + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    near, away = np.maximum(lead[of], piece * run), np.minimum(far[of], piece * run + run - 1)
+    first, last = anchor[of] - away, anchor[of] - near
+    # what every string at such a distance holds: from the nearest one's start to the farthest one's end
+    core = anchor[of] - piece * run
+    bucket = _stretch_ids(data, core, core - run + 1 + length)
+    stretch = _stretch_ids(data, first, last + length)
+    return mixed(bucket + piece.astype(np.uint64)), stretch, first, last, near
+
+
+def _settled(part: pa.Table, offsets: np.ndarray, units: tuple[np.ndarray, ...], length: int) -> pa.RecordBatch:
+    """Rows for the units of a batch, compared with each other."""
+    bucket, stretch, low, high, lead = units
+    order = np.lexsort((low, stretch, bucket))
+    bucket, stretch, low, high, lead = (x[order] for x in (bucket, stretch, low, high, lead))
+    new_bucket = np.ones(len(low), bool)
+    new_bucket[1:] = bucket[1:] != bucket[:-1]
+    first = new_bucket.copy()
+    first[1:] |= stretch[1:] != stretch[:-1]
+    group = np.cumsum(new_bucket) - 1
+    split = (np.bincount(group, weights=first) > 1)[group] if len(low) else new_bucket
+    text = np.searchsorted(offsets, low, "right") - 1
+    low, high = low - offsets[text], high - offsets[text]
+    gone = _merged(text[~first], low[~first], high[~first] + length)
+    # what is settled here gets a bucket of its own, for an even shuffle
+    own = lambda t, x: mixed((t.astype(np.uint64) << np.uint64(40)) + x.astype(np.uint64))
+    rows = [[x[chosen] for x in (bucket, stretch, text, low, high, lead)] for chosen in (first & ~split, new_bucket & split, first & split)]
+    rows[SPLIT][0] = own(text[first & split], low[first & split])
+    rows.append([own(gone[0], gone[1]), gone[1].astype(np.uint64), *gone, np.zeros_like(gone[0])])
+    states = np.repeat(np.arange(4, dtype=np.int8), [len(r[0]) for r in rows])
+    bucket, stretch, text, low, high, lead = (np.concatenate(c) for c in zip(*rows))
+    doc_id, row_id = (part[c].combine_chunks().take(pa.array(text)) for c in ("doc_id", "row_id"))
+    arrays = [pa.array(bucket.view(np.int64)), pa.array(stretch.view(np.int64)), doc_id, row_id, pa.array(low), pa.array(high), pa.array(lead.astype(np.int32)), pa.array(states)]
+    return pa.record_batch(arrays, ["bucket", "stretch", "doc_id", "row_id", "low", "high", "lead", "state"])
+
+
 def _find_units(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches, ["doc_id", "row_id", "text"]):
             part = _in_order(part)
             data, offsets = joined(part["text"])
-            bucket, stretch, low, high = units_of(data, offsets, length, gram)
-            order = np.lexsort((low, stretch, bucket))
-            bucket, stretch, low, high = bucket[order], stretch[order], low[order], high[order]
-            new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(low) else np.zeros(0, bool)
-            first = new_bucket | np.concatenate([[True], stretch[1:] != stretch[:-1]]) if len(low) else new_bucket
-            group = np.cumsum(new_bucket) - 1
-            split = (np.bincount(group, weights=first) > 1)[group] if len(low) else new_bucket
-            text = np.searchsorted(offsets, low, "right") - 1
-            base = offsets[text]
-            gone = _merged(text[~first], (low - base)[~first], (high - base + length)[~first])
-            alone, several, sign = first & ~split, first & split, new_bucket & split
-            # what is settled here gets a bucket of its own, for an even shuffle
-            own = lambda text, low: mixed((text.astype(np.uint64) << np.uint64(40)) + low.astype(np.uint64)).view(np.int64)
-            rows = [
-                (bucket[alone].view(np.int64), stretch[alone].view(np.int64), text[alone], (low - base)[alone], (high - base)[alone], UNIT),
-                (bucket[sign].view(np.int64), stretch[sign].view(np.int64), text[sign], (low - base)[sign], (high - base)[sign], SIGN),
-                (own(text[several], low[several]), stretch[several].view(np.int64), text[several], (low - base)[several], (high - base)[several], SPLIT),
-                (own(gone[0], gone[1]), gone[1], gone[0], gone[1], gone[2], REMOVED),
-            ]
-            states = np.concatenate([np.full(len(r[0]), r[5], np.int8) for r in rows])
-            columns = [np.concatenate([r[i] for r in rows]) for i in range(5)]
-            text = pa.array(columns[2])
-            doc_id, row_id = (part[c].combine_chunks().take(text) for c in ("doc_id", "row_id"))
-            arrays = [pa.array(columns[0]), pa.array(columns[1]), doc_id, row_id, pa.array(columns[3]), pa.array(columns[4]), pa.array(states)]
-            yield pa.record_batch(arrays, ["bucket", "stretch", "doc_id", "row_id", "low", "high", "state"])
+            yield _settled(part, offsets, units_of(data, offsets, length, gram), length)
+
+    return run
+
+
+def _listed(part: pa.Table, offsets: np.ndarray) -> list[np.ndarray]:
+    """first and last string start and lead of the units listed for the texts of a batch."""
+    lists = part["units"].combine_chunks()
+    at = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
+    low, high, lead = (lists.flatten().field(n).to_numpy() for n in ("low", "high", "lead"))
+    return [low + at, high + at, lead.astype(np.int64)]
+
+
+def _find_runs(length: int, run_length: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches, ["doc_id", "row_id", "text", "units"]):
+            part = _in_order(part)
+            data, offsets = joined(part["text"])
+            yield _settled(part, offsets, runs_of(data, *_listed(part, offsets), length, run_length), length)
 
     return run
 
@@ -166,7 +205,7 @@ def _refined(units: DataFrame, length: int) -> DataFrame:
     return (
         units.withColumns({"split": split, "place": place})
         .select(
-            "row_id", "low", F.when(later, F.col("high") + length).otherwise(F.col("high")).alias("high"),
+            "row_id", "low", F.when(later, F.col("high") + length).otherwise(F.col("high")).alias("high"), "lead",
             F.when(settled, F.col("state")).when((F.col("state") == UNIT) & F.col("split"), SPLIT).when(later, REMOVED).cast("byte").alias("state"),
         )
         .where("state is not null")
@@ -180,14 +219,11 @@ def _find_strings(length: int):
         for part in _gathered(batches, ["doc_id", "row_id", "text", "units"], STRING_BATCH_BYTES):
             part = _in_order(part)
             data, offsets = joined(part["text"])
-            lists = part["units"].combine_chunks()
-            text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            low, high = (flat.field(n).to_numpy() + offsets[text] for n in ("low", "high"))
+            low, high, _ = _listed(part, offsets)
             sizes = high - low + 1
             at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             at = np.unique(at)
-            ids = _string_ids(data, at, length)
+            ids = _stretch_ids(data, at, at + length)
             order = np.argsort(ids, kind="stable")
             ids, at = ids[order], at[order]
             first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
@@ -204,21 +240,24 @@ def _find_strings(length: int):
     return run
 
 
-def _string_ids(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the strings that start at the sorted positions."""
-    keeper, out, i = Sums(_PIECE + length), np.empty(len(at), np.uint64), 0
-    while i < len(at):
-        low = at[i]
-        j = int(np.searchsorted(at, low + _PIECE))
-        sums = keeper.over(data[low : at[j - 1] + length])
-        out[i:j] = keeper.stretch(sums, at[i:j] - low, at[i:j] - low + length)
+def _stretch_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Identifiers of short stretches."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    most = int((end - start).max(initial=0))
+    keeper, out, i = Sums(_PIECE + most), np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        low = start[i]
+        j = int(np.searchsorted(start, low + _PIECE))
+        sums = keeper.over(data[low : end[i:j].max()])
+        out[order[i:j]] = keeper.stretch(sums, start[i:j] - low, end[i:j] - low)
         i = j
     return out
 
 
-def with_lists(rows: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
+def with_lists(rows: DataFrame, ranges: DataFrame, name: str, *columns: str) -> DataFrame:
     """rows (with text) that have ranges, with the list of them; texts without any are not shuffled if the others are few."""
-    lists = ranges.groupBy("row_id").agg(F.collect_list(F.struct("low", "high")).alias(name))  # at most as many as a text has bytes
+    lists = ranges.groupBy("row_id").agg(F.collect_list(F.struct("low", "high", *columns)).alias(name))  # at most as many as a text has bytes
     ids = ranges.select("row_id").distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(ids), "row_id", "left_semi")
@@ -252,9 +291,11 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row_id, low and high (exclusive) of byte ranges that together cover what is to be removed from rows (doc_id, row_id, text)."""
-    refined = written(_refined(rows.mapInArrow(_find_units(length, gram), _UNIT_SCHEMA), length), "units")
-    removed = refined.where(F.col("state") == REMOVED).select("row_id", "low", "high")
-    listed = with_lists(rows, refined.where(F.col("state") == SPLIT).select("row_id", "low", "high"), "units")
+    units = written(_refined(rows.mapInArrow(_find_units(length, gram), _UNIT_SCHEMA), length), "units")
+    listed = with_lists(rows, units.where(F.col("state") == SPLIT), "units", "lead")
+    runs = written(_refined(listed.mapInArrow(_find_runs(length, min(RUN, length)), _UNIT_SCHEMA), length), "runs")
+    removed = units.unionByName(runs).where(F.col("state") == REMOVED).select("row_id", "low", "high")
+    listed = with_lists(rows, runs.where(F.col("state") == SPLIT), "units", "lead")
     strings = listed.mapInArrow(_find_strings(length), _STRING_SCHEMA)
     settled = F.col("high") > 0
     place = F.row_number().over(Window.partitionBy("string", settled).orderBy("doc_id", "row_id", "low"))

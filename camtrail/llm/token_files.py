@@ -22,6 +22,7 @@ FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
+BROADCAST_FILES = 1_000_000
 
 
 def _encode(model: str, end_id: int):
@@ -78,12 +79,13 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    few = sizes.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES  # else the join shuffles the ids
     chosen = files
     if first is not None:
         chosen = chosen.where(F.col("doc_id") >= first)
     if last is not None:
         chosen = chosen.where(F.col("doc_id") <= last)
-    return chosen.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return chosen.join(F.broadcast(bases) if few else bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

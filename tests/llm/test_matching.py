@@ -34,6 +34,16 @@ def test_jaccard(stored, monkeypatch, n, percent, frequent):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(want)
 
 
+def test_jaccard_pairs(stored):
+    docs = near_copies()
+    table = stored(docs)
+    sets = {r["set_id"]: r["doc_id"] for r in ngram_join.jaccard_components(table).where("n_shingles > 0").collect()}
+    text = dict(docs)
+    grams = {s: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for s, d in sets.items() for w in [brute.lower(text[d]).split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
+    assert {tuple(r) for r in ngram_join.jaccard_pairs(table).collect()} == want
+
+
 def test_jaccard_of_odd_rows(stored):
     docs = [(5, "a b c d e"), (3, "A b c d E"), (3, "A b c d E"), (None, "a b c d e"), (None, None), (9, None), (None, "q")]
     rows = stored([(*d, 1, "x") for d in docs], "doc_id long, text string, size int, entry string")
