@@ -9,6 +9,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A file has fewer rows than 2 to this power.
+FILE_ROWS_BITS = 40
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,8 +22,20 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
-    """docs with a number for each row: unlike doc_id it is never null or repeated. docs must come from files."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """docs with a number for each row: unlike doc_id it is never null or repeated.
+
+    It is the place of the row in its Parquet file and of the file among all, so every plan that reads the files gives a
+    row the same number, however many cores read them. docs must come from Parquet files by select and where alone.
+    """
+    paths = sorted(set(docs.inputFiles()))
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if len(paths) < 2:
+        return docs.select("*", index.alias(name))
+    forms = [(form, i << FILE_ROWS_BITS) for i, p in enumerate(paths) for form in {p, p.replace("file:///", "file:/", 1)}]
+    files = docs.sparkSession.createDataFrame(forms, "__path string, __first long")
+    marked = docs.select("*", path.alias("__at"), index.alias("__index")).join(F.broadcast(files), F.col("__at") == F.col("__path"), "left")
+    number = F.coalesce(F.col("__first"), F.raise_error(F.lit("a file that wasn't listed")).cast("long")) + F.col("__index")
+    return marked.withColumn(name, number).drop("__at", "__index", "__path", "__first")
 
 
 def without_rows(rows: DataFrame, gone: DataFrame, most: int = 2_000_000) -> DataFrame:

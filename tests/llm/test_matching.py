@@ -140,3 +140,23 @@ def test_top_k_of_few(stored, monkeypatch):
     found = vector_search.top_k(rows, F.col("vec_id") % 100 == 0, block=1).collect()
     assert sorted(map(tuple, found)) == sorted(ranked([(0, [1.0, 2.0]), (7, [0.5, 0.5]), (100, [1.0, 2.0])]))
     assert vector_search.top_k(stored([], "vec_id long, embedding array<double>", name="none"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_row_numbers_do_not_follow_the_splits(spark, stored):
+    from camtrail.llm.tables import numbered
+
+    docs = stored([(i % 7, f"text {i}") for i in range(300)])
+    numbers = lambda d: {r["row_id"]: (r["doc_id"], r["text"]) for r in numbered(d).collect()}
+    want = numbers(docs)
+    assert sorted(want.values()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    settings = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert numbers(docs) == want
+        few = numbers(docs.where("doc_id = 3").select("doc_id", "text"))
+        assert few == {k: v for k, v in want.items() if v[0] == 3}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
