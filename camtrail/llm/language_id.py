@@ -3,8 +3,9 @@
 Texts become vectors of hashed byte trigrams of lower-cased letters, weighted by TF-IDF and normalised. Document
 frequencies are counted over all training texts. On a sample of them, of about SAMPLE a language, each language's
 vectors are clustered into several centroids (spherical k-means). A text gets the language of the centroid of highest
-cosine. It is rejected if that cosine is under half the least that the centroid's own sample members have, or FAR if that is less:
-short texts share few trigrams with anything.
+cosine. It is rejected if it lies outside the radius of every centroid. A radius is half a low quantile of the cosines
+that the centroid's own sample members have, learned for each text length (from whole members and from parts of them):
+short texts share few trigrams with anything, and long ones share some with everything by collisions alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ SAMPLE = 400
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.5
-FAR = 0.02
+LOW = 0.01
+#: Radii are learned for texts of 1, 2, 4 and so on features; from the language's members where a centroid has fewer than MEMBERS.
+LEVELS = FEATURES.bit_length()
+MEMBERS = 20
 UNKNOWN = "und"
 _LETTER = np.where(np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]), LOWER, 0x20).astype(np.uint32)
 
@@ -51,7 +55,7 @@ class Centroids:
     languages: list[str]
     weights: np.ndarray  # one column a centroid
     language: np.ndarray  # of each centroid
-    radius: np.ndarray
+    radius: np.ndarray  # a row a centroid, a column a level of length
     idf: np.ndarray
 
     def vector(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -64,7 +68,10 @@ class Centroids:
             return None, 0.0, True
         cosines = self.vector(features, counts) @ self.weights[features]
         best = int(cosines.argmax())
-        return self.languages[self.language[best]], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < self.radius[best])
+        level = np.log2(len(features))
+        low, high = int(level), min(int(level) + 1, LEVELS - 1)
+        radius = self.radius[:, low] + (level - low) * (self.radius[:, high] - self.radius[:, low])
+        return self.languages[self.language[best]], float(min(1.0, max(0.0, cosines[best]))), bool((cosines < radius).all())
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +89,8 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part["lang"], pa.array([f.astype("<u2").tobytes() for f, _ in found]), pa.array([c.astype("<i4").tobytes() for _, c in found])], ["lang", "features", "counts"])
 
 
-def _clustered(vectors: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids of unit vectors, and the least cosine of the members of each; starts are far apart."""
+def _clustered(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Unit centroids of unit vectors; starts are far apart."""
     chosen = [0]
     near = vectors @ vectors[0]
     while len(chosen) < min(k, len(vectors)):
@@ -95,9 +102,29 @@ def _clustered(vectors: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np
         sums = np.stack([vectors[own == c].sum(0) for c in range(len(centroids))])
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centroids)
-    cosines = vectors @ centroids.T
-    own = cosines.argmax(1)
-    return centroids, np.array([cosines[own == c, c].min(initial=1.0) for c in range(len(centroids))])
+    return centroids
+
+
+def _radii(members: list[tuple[np.ndarray, np.ndarray]], model: Centroids, centroids: np.ndarray) -> np.ndarray:
+    """The radius of each centroid at each level, from members (features, counts) of one language and parts of them."""
+    rng = np.random.default_rng(0)
+    cosines: list[list[list[float]]] = [[[] for _ in range(LEVELS)] for _ in centroids]
+    for features, counts in members:
+        own = int((centroids[:, features] @ model.vector(features, counts)).argmax())
+        drawn = np.argsort(rng.exponential(size=len(features)) / counts)  # frequent ones first, as in a part of the text
+        for level in range(len(features).bit_length()):
+            part = drawn[: 1 << level]
+            cosines[own][level].append(float(model.vector(features[part], np.ones(len(part))) @ centroids[own, features[part]]))
+        cosines[own][level].append(float(model.vector(features, counts) @ centroids[own, features]))
+    radius = np.zeros((len(centroids), LEVELS))
+    for level in range(LEVELS):
+        together = [x for own in cosines for x in own[level]]
+        for c, own in enumerate(cosines):
+            if held := own[level] if len(own[level]) >= MEMBERS else together:
+                radius[c, level] = SLACK * np.quantile(held, LOW)
+    return np.maximum.accumulate(radius, 1)
+
+
 
 
 def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
@@ -108,7 +135,7 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     for r in known.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] += r["n"]
     idf = np.log((df[-1] + 1) / df[:-1]) + 1
-    model = Centroids(sorted(sizes), np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.int64), np.zeros(0), idf)
+    model = Centroids(sorted(sizes), np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.int64), np.zeros((0, LEVELS)), idf)
     if not sizes:
         return model
     share = F.lit(0.0)
@@ -122,14 +149,14 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         own = [r for r in rows if r["lang"] == lang and len(r["features"])]
         if not own:
             continue
+        members = [(np.frombuffer(r["features"], "<u2"), np.frombuffer(r["counts"], "<i4")) for r in own]
         vectors = np.zeros((len(own), FEATURES), np.float32)
-        for row, r in zip(vectors, own):
-            held = np.frombuffer(r["features"], "<u2")
-            row[held] = model.vector(held, np.frombuffer(r["counts"], "<i4"))
-        found, least = _clustered(vectors, centroids, ROUNDS)
+        for row, (held, counts) in zip(vectors, members):
+            row[held] = model.vector(held, counts)
+        found = _clustered(vectors, centroids, ROUNDS)
         weights.append(found.T)
         language += [i] * len(found)
-        radius.append(np.minimum(least * SLACK, FAR))
+        radius.append(_radii(members, model, found))
     if weights:
         model.weights, model.language, model.radius = np.ascontiguousarray(np.concatenate(weights, 1)), np.array(language), np.concatenate(radius)
     return model

@@ -103,6 +103,17 @@ def test_languages(stored):
     assert language_id.predict(rows, nothing).where("lang_pred <> 'und'").count() == 0
 
 
+def test_far_texts_are_rejected_and_learned_languages_stay(spark, stored):
+    rng = random.Random(4)
+    cyrillic, latin = "абвгдежзиклмнопрстуфхцчшыэюя", "abcdefghijklmnopqrstuvwxyz"
+    strange = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(language_id.remainder("doc_id", 4) != 2))
+    far = stored([(i, strange((cyrillic, latin)[i % 2], n)) for i, n in enumerate([10, 10, 20, 20, 100, 100, 1000, 1000, 5000, 5000])])
+    assert all(r["rejected"] for r in language_id.predict(far, model).collect())
+    assert language_id.predict(docs.where(r"text rlike '\\p{L}'"), model).where("rejected").count() == 0
+
+
 def test_held_out_languages(spark):
     found = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").where("held_out")
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
