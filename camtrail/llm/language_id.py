@@ -36,16 +36,16 @@ _LETTER = np.where(np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7
 
 
 def _trigram_counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The features of each text and how often it has them."""
+    """The features of each text, with a space on either side, and how often it has them."""
     data, offsets = joined(texts)
-    letters = _LETTER[data]
+    letters = np.concatenate([np.full(1, 0x20, np.uint32), _LETTER[data]])  # so a space stands before each text
     if len(letters) < 3:
         yield from ((np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(len(texts)))
         return
     code = (letters[:-2] * np.uint32(0x9E3779B1)) ^ (letters[1:-1] * np.uint32(0x85EBCA77)) ^ (letters[2:] * np.uint32(0xC2B2AE3D))
     feature = ((code * np.uint32(0x27D4EB2F)) >> np.uint32(19)).astype(np.int64)
     for a, b in zip(offsets[:-1], offsets[1:]):
-        counts = np.bincount(feature[a : max(a, b - 2)], minlength=FEATURES)
+        counts = np.bincount(feature[a : b - 1], minlength=FEATURES)
         held = np.flatnonzero(counts)
         yield held, counts[held]
 

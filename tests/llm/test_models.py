@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,6 +115,15 @@ def test_far_texts_are_rejected_and_learned_languages_stay(spark, stored):
     assert language_id.predict(docs.where(r"text rlike '\\p{L}'"), model).where("rejected").count() == 0
 
 
+def test_a_text_of_one_letter_has_a_language(stored):
+    rows = stored([(i, lang, t) for i, (lang, t) in enumerate([("xx", "a b a"), ("yy", "ü ö ü")] * 3 + [(None, "a"), (None, "z"), (None, "."), (None, "")])], "doc_id long, lang string, text string")
+    found = {r["doc_id"]: r for r in language_id.predict(rows, language_id.fit(rows)).collect()}
+    assert found[6]["lang_pred"] == "xx" and found[6]["score"] > 0 and not found[6]["rejected"]
+    assert found[7]["lang_pred"] != "und"
+    assert all(found[i]["lang_pred"] == "und" and found[i]["rejected"] for i in (8, 9))
+    assert [len(f) for f, _ in language_id._trigram_counts(pa.array(["a", "", "ab", None, "b"]))] == [1, 0, 2, 0, 1]
+
+
 def test_held_out_languages(spark):
     found = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").where("held_out")
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
