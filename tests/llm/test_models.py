@@ -59,6 +59,39 @@ def test_probabilities_of_a_slice_sum_to_one_at_most():
     assert (total < 1.05).all() and (total > 0.6).all()
 
 
+def test_word_order_counts(stored):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(60)]
+    follows = {w: rng.sample(names, 2) for w in names}
+
+    def chain():
+        out = [rng.choice(names)]
+        while len(out) < 80:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    docs = [(i, " ".join(chain())) for i in range(200)]
+    held = [chain() for _ in range(5)]
+    docs += [(1000 + i, " ".join(t)) for i, t in enumerate(held)] + [(2000 + i, " ".join(rng.sample(t, len(t)))) for i, t in enumerate(held)]
+    docs += [(3000, docs[0][1]), (3001, docs[0][1])]
+    found = {r["doc_id"]: r["bits"] for r in context_mixing.text_scores(stored(docs), ~F.col("doc_id").between(1000, 2999)).collect()}
+    assert all(found[1000 + i] < 0.6 * found[2000 + i] for i in range(5))
+    assert found[3000] == pytest.approx(found[3001]) and found[3000] == pytest.approx(found[0])
+
+
+def test_mixed_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    base, counts = rng.dirichlet(np.ones(6)), rng.integers(0, 5, (6, 2))
+    history = np.log(rng.random(40)), rng.integers(0, 9, (40, 2)).astype(float)
+    logs = []
+    for w in range(6):
+        plain = np.append(history[0], np.log(base[w]))
+        seen = np.concatenate([history[1], counts.sum(0)[None]])
+        chance = np.concatenate([np.minimum(1, history[1] / 9), (counts[w] / np.maximum(counts.sum(0), 1))[None]])
+        logs.append([context_mixing.mixed_logs(plain[:n], seen[:n], chance[:n], np.zeros(1, int), np.array([n]))[0] for n in (40, 41)])
+    assert np.exp([b - a for a, b in logs]).sum() == pytest.approx(1)
+
+
 PIECES = st.lists(st.sampled_from(["a@b.c", "x.y+z@q-1.example.com", "@", "_d@e.f", "1.2.3.4", "999.1.1.1", "0255.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+1", " ", ".", "-", "7", "é", "z"]), max_size=12)
 
 
