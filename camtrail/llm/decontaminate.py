@@ -54,7 +54,7 @@ class Lookup:
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.bits = max(16, int(len(terms)).bit_length() + 5)
+        self.bits = max(16, int(len(terms)).bit_length() + 3)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._low(terms)] = True
 

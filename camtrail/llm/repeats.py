@@ -1,21 +1,25 @@
 """Removal of repeated byte strings by bucket-pointer refinement (operator 8).
 
-A byte goes if it lies in a string of `length` bytes that also starts earlier. Strings are sorted into buckets as in
-bucket-pointer refinement of suffixes, with hashes as bucket identifiers so that buckets form by shuffles:
-
-1. Every string holds an anchor, the q-gram of least hash in it (leftmost of equals), so equal strings share their
-   anchor's q-gram and its offset. The first buckets are the q-grams of the anchors, a few hundredths of all
-   positions. A unit is an anchor with the run of strings that it anchors.
-2. A bucket is refined by the identifier of what lies around the anchor, the unit's whole stretch. Units alike in it
-   hold the same strings: all but the first are removed. A bucket that is not split by this is done with.
-3. The units of split buckets are cut into runs of RUN strings, aligned to the anchor. Their buckets are refined by
-   the identifier of what all strings of a run have in common, at its offset from the anchor; runs are then compared
-   as units were, and most buckets hold one run now.
-4. In buckets that are still split every single string gets its identifier, by the same sums over bytes, and all but
-   the first of each are removed.
+A byte goes if it lies in a string of `length` bytes that also starts earlier. Positions have bucket identifiers, as in
+bucket-pointer refinement of suffixes: the first buckets are 8-grams, and a level's buckets are split by the identifier
+that the level before gave to the bucket at a later offset, so that each level's identifiers are used again for the
+next, of twice the width. An identifier is the hash of the two that it comes from, not a rank among all: positions
+of equal stretches get equal ones on every machine, without a sort of all suffixes at each level.
+
+1. Every string holds an anchor, the q-gram of least identifier in it (leftmost of equals), so equal strings share
+   their anchor's q-gram and its offset. Only buckets of anchors, a few hundredths of all positions, are shuffled. A
+   unit is an anchor with the run of strings that it anchors.
+2. A bucket is refined by the identifiers of later offsets that cover the unit's whole stretch. Units alike in it hold
+   the same strings: all but the first are removed. A bucket that is not split by this is done with.
+3. The units of split buckets are cut into runs of RUN strings, aligned to the anchor. Their buckets are what all
+   strings of a run have in common, at its offset from the anchor; runs are then compared as units were, and most
+   buckets hold one run now.
+4. In buckets that are still split every single string is compared, and all but the first of each are removed.
 
 Before each shuffle a batch keeps one unit, or string, of those alike, and one row for each bucket that it has split
-itself: a passage that a third of all documents share sends a few rows a batch. Nothing is capped or sampled.
+itself: a passage that a third of all documents share sends a few rows a batch. Nothing is capped or sampled. Units
+and strings are compared inside a bucket alone, so two that differ are taken for one only if two 64-bit identifiers
+agree, of which one covers the whole string.
 """
 
 from __future__ import annotations
@@ -30,47 +34,77 @@ from pyspark.sql import functions as F
 
 from camtrail.llm.storage import written
 from camtrail.llm.tables import numbered, small_batches
-from camtrail.llm.text_arrays import joined, mixed, powers
+from camtrail.llm.text_arrays import joined, mixed
 
 LENGTH = 100
 GRAM = 32
 RUN = 8
 BATCH_BYTES = 24 << 20
 STRING_BATCH_BYTES = 6 << 20
-BROADCAST_ROWS = 2_000_000
+#: Row numbers that are broadcast at most, about 30 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _PIECE = 1 << 16
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 #: state: 0 a unit to be compared by bucket, 1 a sign that a bucket is split, 2 a unit of a split bucket, 3 removed.
 _UNIT_SCHEMA = "bucket long, stretch long, doc_id long, row_id long, low long, high long, lead int, state byte"
-_STRING_SCHEMA = "string long, doc_id long, row_id long, low long, high long"
+_STRING_SCHEMA = "bucket long, string long, doc_id long, row_id long, low long, high long"
 UNIT, SIGN, SPLIT, REMOVED = range(4)
 
 
-class Sums:
-    """Identifiers of stretches of a byte array, up to a piece and some more."""
+def _refined_by(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of buckets split by the identifiers of the buckets at a later offset."""
+    return mixed(bucket * _FACTOR + later)
 
-    def __init__(self, most: int):
-        self.up, self.down = powers(_BASE, most + 1), powers(_INVERSE, most + 1)
 
-    def over(self, data: np.ndarray) -> np.ndarray:
-        values = data.astype(np.uint64) + np.uint64(1)
-        return np.concatenate([[np.uint64(0)], np.cumsum(values * self.up[: len(values)])])
+class Buckets:
+    """Bucket identifiers of the positions of a byte array, by the stretch of a given width that starts there."""
 
-    def stretch(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mixed((sums[b] - sums[a]) * self.down[a])
+    def __init__(self, data: np.ndarray):
+        self._levels = {1: data.astype(np.uint64)}
+
+    def _level(self, width: int) -> np.ndarray:
+        """Of all positions; width is a power of 2. Up to 8 bytes are their own identifier."""
+        if width not in self._levels:
+            half = width // 2
+            before = self._level(half)
+            near, far = before[: max(0, len(before) - half)], before[half:]
+            self._levels[width] = near | far << np.uint64(8 * half) if width <= 8 else _refined_by(mixed(near) if half == 8 else near, far)
+        return self._levels[width]
+
+    def all(self, width: int) -> np.ndarray:
+        """Identifiers of every position with width bytes from it on."""
+        wide = 1 << (width.bit_length() - 1)
+        level = self._level(wide)
+        if width > wide:
+            return _refined_by(mixed(level[: max(0, len(level) - width + wide)]), level[width - wide :])
+        return mixed(level)
+
+    def at(self, positions: np.ndarray, width: int) -> np.ndarray:
+        """Identifiers of some positions. Levels that no call has made for all positions are made for these alone."""
+        wide = 1 << (width.bit_length() - 1)
+        if width > wide:
+            return _refined_by(mixed(self._made(positions, wide)), self._made(positions + (width - wide), wide))
+        return mixed(self._made(positions, wide))
+
+    def _made(self, positions: np.ndarray, width: int) -> np.ndarray:
+        if width <= 16 or width in self._levels:
+            return self._level(width)[positions]
+        return _refined_by(self._made(positions, width // 2), self._made(positions + width // 2, width // 2))
+
+    def between(self, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+        """Identifiers of stretches of a width to twice that."""
+        return _refined_by(_refined_by(self.at(start, width), self.at(end - width, width)), (end - start).astype(np.uint64))
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Bucket, stretch identifier, first and last string start and the last one's distance to the anchor, of each unit. Texts are as joined() has them."""
     grams = length - gram + 1
-    keeper = Sums(_PIECE + length)
     found = []
     for low in range(0, len(data) - length, _PIECE):  # the last byte is a separator
         part = data[low : low + _PIECE + length - 1]
-        sums = keeper.over(part)
-        at = np.arange(len(part) - gram + 1)
-        ids = keeper.stretch(sums, at, at + gram)
+        buckets = Buckets(part)
+        ids = buckets.all(gram)
+        at = np.arange(len(ids))
         least = (ids & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
         width = 1
         while 2 * width <= grams:
@@ -89,7 +123,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         last = np.append(first[1:], len(anchor)) - 1
         keep = valid[first]
         first, last = first[keep], last[keep]
-        found.append((ids[anchor[first]], keeper.stretch(sums, first, last + length), first + low, last + low, anchor[first] - last))
+        found.append((ids[anchor[first]], buckets.between(first, last + length, length), first + low, last + low, anchor[first] - last))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -136,8 +170,8 @@ def runs_of(data: np.ndarray, low: np.ndarray, high: np.ndarray, lead: np.ndarra
     first, last = anchor[of] - away, anchor[of] - near
     # what every string at such a distance holds: from the nearest one's start to the farthest one's end
     core = anchor[of] - piece * run
-    bucket = _stretch_ids(data, core, core - run + 1 + length)
-    stretch = _stretch_ids(data, first, last + length)
+    bucket = _by_pieces(data, core, length - run + 1, lambda buckets, at, _: buckets.at(at, length - run + 1))
+    stretch = _by_pieces(data, first, 2 * length, lambda buckets, at, of: buckets.between(at, at + (last - first)[of] + length, length))
     return mixed(bucket + piece.astype(np.uint64)), stretch, first, last, near
 
 
@@ -212,45 +246,44 @@ def _refined(units: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _find_strings(length: int):
+def _find_strings(length: int, gram: int):
     """The single strings of listed units: one row for each that is new in the batch, ranges for the others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches, ["doc_id", "row_id", "text", "units"], STRING_BATCH_BYTES):
             part = _in_order(part)
             data, offsets = joined(part["text"])
-            low, high, _ = _listed(part, offsets)
+            low, high, lead = _listed(part, offsets)
             sizes = high - low + 1
             at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            at = np.unique(at)
-            ids = _stretch_ids(data, at, at + length)
-            order = np.argsort(ids, kind="stable")
-            ids, at = ids[order], at[order]
-            first = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
+            at, first = np.unique(at, return_index=True)
+            anchor = np.repeat(high + lead, sizes)[first]
+            bucket = _refined_by(_by_pieces(data, anchor, gram, lambda buckets, x, _: buckets.at(x, gram)), (anchor - at).astype(np.uint64))
+            ids = _by_pieces(data, at, length, lambda buckets, x, _: buckets.at(x, length))
+            order = np.lexsort((at, ids, bucket))
+            bucket, ids, at = bucket[order], ids[order], at[order]
+            first = np.concatenate([[True], (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])]) if len(ids) else np.zeros(0, bool)
             text = np.searchsorted(offsets, at, "right") - 1
             own = at - offsets[text]
             gone = _merged(text[~first], own[~first], own[~first] + length)
             text, low = np.concatenate([text[first], gone[0]]), np.concatenate([own[first], gone[1]])
             high = np.concatenate([np.zeros(first.sum(), np.int64), gone[2]])
             spread = mixed((gone[0].astype(np.uint64) << np.uint64(40)) + gone[1].astype(np.uint64))
-            string = np.concatenate([ids[first], spread]).view(np.int64)
+            keys = [pa.array(np.concatenate([x[first], spread]).view(np.int64)) for x in (bucket, ids)]
             doc_id, row_id = (part[c].combine_chunks().take(pa.array(text)) for c in ("doc_id", "row_id"))
-            yield pa.record_batch([pa.array(string), doc_id, row_id, pa.array(low), pa.array(high)], ["string", "doc_id", "row_id", "low", "high"])
+            yield pa.record_batch([*keys, doc_id, row_id, pa.array(low), pa.array(high)], ["bucket", "string", "doc_id", "row_id", "low", "high"])
 
     return run
 
 
-def _stretch_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Identifiers of short stretches."""
+def _by_pieces(data: np.ndarray, start: np.ndarray, most: int, made) -> np.ndarray:
+    """made(buckets, positions, which of start) for all of start, piece by piece; stretches have most bytes at most."""
     order = np.argsort(start, kind="stable")
-    start, end = start[order], end[order]
-    most = int((end - start).max(initial=0))
-    keeper, out, i = Sums(_PIECE + most), np.empty(len(start), np.uint64), 0
-    while i < len(start):
-        low = start[i]
-        j = int(np.searchsorted(start, low + _PIECE))
-        sums = keeper.over(data[low : end[i:j].max()])
-        out[order[i:j]] = keeper.stretch(sums, start[i:j] - low, end[i:j] - low)
+    ordered, out, i = start[order], np.empty(len(start), np.uint64), 0
+    while i < len(ordered):
+        low = ordered[i]
+        j = int(np.searchsorted(ordered, low + _PIECE))
+        out[order[i:j]] = made(Buckets(data[low : ordered[j - 1] + most]), ordered[i:j] - low, order[i:j])
         i = j
     return out
 
@@ -296,9 +329,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     runs = written(_refined(listed.mapInArrow(_find_runs(length, min(RUN, length)), _UNIT_SCHEMA), length), "runs")
     removed = units.unionByName(runs).where(F.col("state") == REMOVED).select("row_id", "low", "high")
     listed = with_lists(rows, runs.where(F.col("state") == SPLIT), "units", "lead")
-    strings = listed.mapInArrow(_find_strings(length), _STRING_SCHEMA)
+    strings = listed.mapInArrow(_find_strings(length, gram), _STRING_SCHEMA)
     settled = F.col("high") > 0
-    place = F.row_number().over(Window.partitionBy("string", settled).orderBy("doc_id", "row_id", "low"))
+    place = F.row_number().over(Window.partitionBy("bucket", "string", settled).orderBy("doc_id", "row_id", "low"))
     later = strings.withColumn("place", place).where(settled | (F.col("place") > 1))
     return removed.unionByName(later.select("row_id", "low", F.when(settled, F.col("high")).otherwise(F.col("low") + length).alias("high")))
 

@@ -15,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = f"file://{tempfile.gettempdir()}/camtrail-shared"
     return folder.rstrip("/")
 
@@ -27,18 +29,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Arrow batches of at most so many bytes go to Python while a table is written.
+ARROW_BYTES = 8 << 20
 
 
 def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors. free: its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_FREE)
+    before = {k: spark.conf.get(k) for k in (_FREE, _ARROW_BYTES)}
     try:
-        spark.conf.set(_FREE, str(free or before == "true").lower())
+        spark.conf.set(_FREE, str(free or before[_FREE] == "true").lower())
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_FREE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -45,7 +46,7 @@ def without_rows(rows: DataFrame, gone: DataFrame, most: int = 2_000_000) -> Dat
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece holds about most_bytes of the column, or a single row."""
+    """The batches cut so that a piece holds about most_bytes of the column, or a single row. At the end of them free memory goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,3 +62,12 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: in
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system: Python workers outlive their tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

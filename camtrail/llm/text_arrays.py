@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2 ** 64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_PIECE = 1 << 18
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -31,13 +30,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _keys(low: int, high: int) -> np.ndarray:
+    """Random multipliers of the places from low to high in a word."""
+    return mixed(np.arange(low + 1, high + 1, dtype=np.uint64) * _BASE)
 
 
-_UP, _DOWN = powers(_BASE, _PIECE + 1), powers(_INVERSE, _PIECE + 1)
+_KEYS = _keys(0, _PIECE)
+#: A random number for each byte.
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def words_of(texts: pa.Array, kind: np.ndarray) -> Words:
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each word, from sums over the bytes before its ends; in pieces, to stay in the cache."""
+    """Multilinear hash of each word: its bytes' numbers times those of their places; in pieces, to stay in the cache."""
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -89,21 +89,20 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             out[i] = _long_hash(data[low : end[i]])
             i += 1
             continue
-        part = data[low : end[j - 1]].astype(np.uint64) + np.uint64(1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(part * _UP[: len(part)])])
-        a, b = start[i:j] - low, end[i:j] - low
-        out[i:j] = (sums[b] - sums[a]) * _DOWN[a]
+        part, a = data[low : end[j - 1]], start[i:j] - low
+        place = np.arange(len(part)) - np.repeat(a, np.diff(np.append(a, len(part))))
+        edges = np.stack([a, end[i:j] - low], 1).ravel()[:-1]  # words and gaps in turn
+        out[i:j] = np.add.reduceat(_VALUES[part] * _KEYS[place], edges)[::2]
         i = j
-    return mixed(out + (end - start).astype(np.uint64) * _INVERSE)
+    return mixed(out + (end - start).astype(np.uint64) * _BASE)
 
 
 def _long_hash(word: np.ndarray) -> np.uint64:
-    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    total = np.uint64(0)
     for low in range(0, len(word), _PIECE):
-        part = word[low : low + _PIECE].astype(np.uint64) + np.uint64(1)
-        total += scale * np.sum(part * _UP[: len(part)], dtype=np.uint64)
-        scale *= _UP[_PIECE]
-    return total[0]
+        part = word[low : low + _PIECE]
+        total = np.sum(np.append(_VALUES[part] * _keys(low, low + len(part)), total), dtype=np.uint64)
+    return total
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
