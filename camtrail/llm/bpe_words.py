@@ -25,6 +25,13 @@ MEMO_LENGTH = 32
 EMPTY = b""
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 def latin_bytes(text: str, added: tuple[str, ...]) -> bytes | None:
     """The text as Latin-1 bytes, or None where it has to go to the library whole."""
     try:
@@ -73,10 +80,12 @@ class LibraryBpe:
         self.tokenizer.no_padding()
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.memo = PieceMemo(self._pieces)
+        self.shown = {b: c for b, c in enumerate(byte_alphabet())}
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode("latin-1") for p in pieces], add_special_tokens=False)
-        return [as_u32(e.ids) for e in found]
+        """The library's merges of each pre-token, in its byte alphabet."""
+        merged, shown = self.tokenizer.model.tokenize, self.shown
+        return [as_u32([t.id for t in merged(p.decode("latin-1").encode().decode("latin-1").translate(shown))]) for p in pieces]
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text (None: empty) as little-endian unsigned 32-bit bytes."""

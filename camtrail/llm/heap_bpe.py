@@ -18,14 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from camtrail.llm.bpe_words import EMPTY, PIECES, PieceMemo, as_u32, latin_bytes
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that byte-level vocabularies write for each byte: itself, or the next from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+from camtrail.llm.bpe_words import EMPTY, PIECES, PieceMemo, as_u32, byte_alphabet, latin_bytes
+from camtrail.llm.tables import small_batches
 
 
 class HeapBpe:
@@ -119,7 +113,7 @@ def heap_bpe(path: str) -> HeapBpe:
 def _coded(model: str, passed: tuple[str, ...], digests: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = heap_bpe(model)
-        for batch in batches:
+        for batch in small_batches(batches, "__text", 2 << 20):
             encoded = [bpe.encode(text) for text in batch["__text"].to_pylist()]
             counts = pa.array([len(x) // 4 for x in encoded], pa.int64())
             if digests:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from camtrail.llm.bpe_words import library_bpe
 from camtrail.llm.storage import written
-from camtrail.llm.tables import numbered
+from camtrail.llm.tables import numbered, small_batches
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -36,7 +36,7 @@ def _whole(model: str):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = library_bpe(model)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             counts = [len(bpe.encode(text)) // 4 for text in batch["text"].to_pylist()]
             yield pa.record_batch([batch["row_id"], pa.array(counts, pa.int64())], ["row_id", "n_tokens"])
 
@@ -66,7 +66,7 @@ def _encode_chunks(model: str, chunk: int, overlap: int):
         # the cut can change the last pre-token, the one before it by look-ahead, and the string of an added token
         unsure = 2 + max([0, *map(len, bpe.added)])
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for row_id, k, last, start, text in zip(*(batch[c].to_pylist() for c in ("row_id", "k", "last", "start", "text"))):
                 at, counts = bpe.pieces(text)
                 before = np.cumsum(counts) - counts

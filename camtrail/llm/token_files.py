@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from camtrail.llm.bpe_words import library_bpe
+from camtrail.llm.tables import small_batches
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 16 << 20
@@ -33,7 +34,7 @@ def _encode(model: str, end_id: int):
 
         bpe, part, total = library_bpe(model), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small_batches(batches, "text", 2 << 20):
             encoded = [bpe.encode(text) + end for text in batch["text"].to_pylist()]
             counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
             offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -51,10 +52,11 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 0, partit
     """Encodes docs (doc_id, text) and writes the files to path.
 
     A null text is empty: its row holds end_id alone. Rows with a null doc_id come first. Rows that repeat a doc_id
-    stay, in the order of their texts' hashes. An empty table gives files without rows. Further columns are ignored.
+    stay, in the order of their texts' hashes. An empty table gives files without rows. Further columns, of whatever
+    names, are ignored. There are as many files as the input has splits, or as a shuffle has partitions if that is more.
     """
     spark = docs.sparkSession
-    partitions = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     (
@@ -73,7 +75,8 @@ def write_tokens(docs: DataFrame, path: str, model: str, end_id: int = 0, partit
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids; first and last bound doc_id and skip files and pages.
 
-    Columns that are not selected are not read: metadata reads leave the ids alone.
+    Columns that are not selected are not read: metadata reads leave the ids alone. Rows with a null doc_id lie outside
+    of any bounds. Files without rows give none.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
@@ -98,5 +101,5 @@ def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers; a row for each of tokens."""
     return tokens.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
