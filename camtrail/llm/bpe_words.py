@@ -45,24 +45,23 @@ def latin_bytes(text: str, added: tuple[str, ...]) -> bytes | None:
 
 
 class PieceMemo(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit bytes; encode_pieces fills in what is missing."""
+    """Piece -> its ids as little-endian unsigned 32-bit bytes; encode_piece gives what is missing."""
 
-    def __init__(self, encode_pieces):
+    def __init__(self, encode_piece):
         super().__init__()
-        self._encode_pieces = encode_pieces
+        self._encode_piece = encode_piece
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self._encode_piece(piece)
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO_LIMIT:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """The pieces' ids, in order."""
-        try:
-            return list(map(self.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self) > MEMO_LIMIT:
-            self.clear()
-        missing = [p for p in set(pieces) if p not in self]
-        known = dict(zip(missing, self._encode_pieces(missing)))
-        self.update((k, v) for k, v in known.items() if len(k) <= MEMO_LENGTH)
-        return [known[p] if p in known else self[p] for p in pieces]
+        return list(map(self.__getitem__, pieces))
 
 
 def as_u32(ids: list[int]) -> bytes:
@@ -79,13 +78,13 @@ class LibraryBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo = PieceMemo(self._pieces)
-        self.shown = {b: c for b, c in enumerate(byte_alphabet())}
+        self.memo = PieceMemo(self._piece)
+        self.model, self.shown = self.tokenizer.model, dict(enumerate(byte_alphabet()))
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """The library's merges of each pre-token, in its byte alphabet."""
-        merged, shown = self.tokenizer.model.tokenize, self.shown
-        return [as_u32([t.id for t in merged(p.decode("latin-1").encode().decode("latin-1").translate(shown))]) for p in pieces]
+    def _piece(self, piece: bytes) -> bytes:
+        """The library's merges of a pre-token, in its byte alphabet."""
+        shown = piece.decode("latin-1").encode().decode("latin-1").translate(self.shown)
+        return as_u32([t.id for t in self.model.tokenize(shown)])
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text (None: empty) as little-endian unsigned 32-bit bytes."""

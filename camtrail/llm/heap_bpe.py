@@ -39,7 +39,7 @@ class HeapBpe:
         self.strings = [b""] * (max(strings.values()) + 1)
         for token, i in strings.items():
             self.strings[i] = b"".join(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.memo = PieceMemo(lambda pieces: [as_u32(self.merge(p.decode("latin-1").encode())) for p in pieces])
+        self.memo = PieceMemo(lambda piece: as_u32(self.merge(piece.decode("latin-1").encode())))
         self.byte_of = byte_of
         self._path, self._pre = path, None
 
