@@ -125,8 +125,6 @@ def _radii(members: list[tuple[np.ndarray, np.ndarray]], model: Centroids, centr
     return np.maximum.accumulate(radius, 1)
 
 
-
-
 def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Centroids learned from training (text, lang); rows without text or lang are left out. Equal input gives equal centroids."""
     known = training.where("lang is not null and text is not null").select("lang", "text")
@@ -142,7 +140,8 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)
-    rows = known.where(drawn).mapInArrow(_featured, "lang string, features binary, counts binary").collect()  # about `sample` a language
+    # copies are drawn together and stand for one
+    rows = known.where(drawn).dropDuplicates(["lang", "text"]).mapInArrow(_featured, "lang string, features binary, counts binary").collect()  # about `sample` a language
     rows.sort(key=lambda r: (r["lang"], bytes(r["features"]), bytes(r["counts"])))
     weights, language, radius = [], [], []
     for i, lang in enumerate(model.languages):

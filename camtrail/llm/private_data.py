@@ -1,10 +1,12 @@
 """Personal data in texts: patterns, and terms that reveal what the patterns protect (operator 5).
 
-Patterns find e-mail and IP addresses, card and phone numbers. An entity is one such value. For each word that stands
-near an entity the corpus tells how strongly it reveals it: with document frequencies, P(e | t) against P(e), as the
-share of the entity's log2(1 / P(e)) bits that the word gives away. Words that give away DISCLOSED or more of some
-entity, and are followed by it in HALF or more of their documents, are generalised wherever they stand; evidence from
-fewer than SUPPORT different texts does not count. Frequencies cover all documents.
+Patterns find e-mail and IP addresses, card and phone numbers; words of KEY_LENGTH or more bytes that mix letters and
+digits are protected as keys. Entities are each such value, what it shares with others (mail domain and local part,
+first digits or parts of numbers), and its kind as a whole. For each word that stands near an entity the corpus tells
+how strongly it reveals it: with document frequencies, P(e | t) against P(e), as the share of the entity's
+log2(1 / P(e)) bits that the word gives away. Words that give away DISCLOSED or more of some entity, and have it near
+them in HALF or more of their documents, are generalised wherever they stand; evidence from fewer than SUPPORT different
+texts does not count. Frequencies cover all documents.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from pyspark.sql import functions as F
 from camtrail.llm.decontaminate import Lookup
 from camtrail.llm.storage import written
 from camtrail.llm.tables import numbered, small_batches
-from camtrail.llm.text_arrays import ALNUM, words_of
+from camtrail.llm.text_arrays import ALNUM, Words, joined, words_of
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "key")
+TERM, KEY = KINDS.index("term"), KINDS.index("key")
+KEY_LENGTH = 20
 NEAR = 8
 SUPPORT = 3
 DISCLOSED = 0.9
 HALF = 0.5
+#: So many terms are held by every worker at most; more are joined by a shuffle.
 TERM_BLOCK = 1 << 20
 #: Fixed patterns, written so that no text takes more than linear time: starts inside a run of the first class can
 #: only match where the run's own start does, or at the end of a match.
@@ -77,23 +82,58 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+_KEY_BYTES = np.where(np.isin(np.arange(256), range(0x30, 0x3A)), 1, np.where(np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)]), 2, 4)).astype(np.uint8)
+
+
+def key_words(texts: pa.Array, words: Words) -> np.ndarray:
+    """Indexes of the words that are keys: long ones of ASCII letters and digits, with both."""
+    data, _ = joined(texts)
+    long = np.flatnonzero(words.end - words.start >= KEY_LENGTH)
+    return np.array([i for i in long.tolist() if np.bitwise_or.reduce(_KEY_BYTES[data[words.start[i] : words.end[i]]]) == 3], np.int64)
+
+
+def entities_of(value: str, kind: int) -> list[str]:
+    """What a value tells: itself, what it shares with others, and its kind."""
+    parts = [f"{KINDS[kind]}", f"{KINDS[kind]} {value}"]
+    if kind == 0:
+        local, _, domain = value.partition("@")
+        parts += [f"local {local}", f"domain {domain}"]
+    elif kind == 1:
+        parts.append("net " + ".".join(value.split(".")[:2]))
+    elif kind in (2, 3):
+        parts.append(f"first {KINDS[kind]} {_SEPARATORS.sub('', value)[:6]}")
+    return parts
+
+
+def _byte_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans as byte ranges."""
+    found, at, offset = [], 0, 0
+    for a, _, b in spans:
+        offset += len(text[at:a].encode()) if a >= at else -len(text[a:at].encode())
+        at = a
+        found.append((offset, offset + len(text[a:b].encode())))
+    return found
+
+
 def _contexts(near: int):
-    """The words near each entity: term, entity, row_id, text."""
+    """The words near each entity: term, entity, row_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, "text"):
-            out = set()
-            for row_id, text in zip(part["row_id"].to_pylist(), part["text"].to_pylist()):
+            words, met = words_of(part["text"], ALNUM), set()
+            keys = key_words(part["text"], words)
+            of = np.searchsorted(words.first, keys, "right") - 1
+            texts, rows = part["text"].to_pylist(), part["row_id"].to_pylist()
+            ranges = [(i, KEY, texts[i].encode()[words.start[k] - words.text[i] : words.end[k] - words.text[i]].decode(), int(words.start[k]), int(words.end[k])) for k, i in zip(keys.tolist(), of.tolist())]
+            for i, text in enumerate(texts):
                 spans = base_spans(text)
-                for a, _, b in spans:
-                    # the value and its context as texts, hashed like all words
-                    before, after = text[max(0, a - 64 * near) : a].split()[-near:], text[b : b + 64 * near].split()[:near]
-                    out.add((row_id, text[a:b].lower(), " ".join(before) + " " + " ".join(after)))
-            rows = sorted(out)
-            context = words_of(pa.array([c for _, _, c in rows], pa.string()), ALNUM)
-            sizes = np.diff(context.first)
-            entities = pa.array(np.repeat([_entity(e) for _, e, _ in rows], sizes).astype(np.int64))
-            yield pa.record_batch([pa.array(context.hash.view(np.int64)), entities, pa.array(np.repeat([r for r, _, _ in rows], sizes).astype(np.int64))], ["term", "entity", "row_id"])
+                ranges += [(i, kind, text[a:b], int(words.text[i]) + x, int(words.text[i]) + y) for (a, kind, b), (x, y) in zip(spans, _byte_spans(text, spans))]
+            for i, kind, value, a, b in ranges:
+                before, after = np.searchsorted(words.end, a, "right"), np.searchsorted(words.start, b)
+                terms = {*words.hash[max(words.first[i], before - near) : before].tolist(), *words.hash[after : min(words.first[i + 1], after + near)].tolist()}
+                met.update((t, e, rows[i]) for e in map(_entity, entities_of(value.lower(), kind)) for t in terms)
+            terms, entities, ids = zip(*met) if met else ((), (), ())
+            yield pa.record_batch([pa.array(np.array(terms, np.uint64).view(np.int64)), pa.array(entities, pa.int64()), pa.array(ids, pa.int64())], ["term", "entity", "row_id"])
 
     return run
 
@@ -102,6 +142,16 @@ def _entity(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _all_document_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a batch each word is."""
+    for part in small_batches(batches, "text"):
+        words = words_of(part["text"], ALNUM)
+        term, place = np.unique(words.hash, return_inverse=True)
+        text = np.repeat(np.arange(part.num_rows), np.diff(words.first))
+        counts = np.bincount(np.unique(text * max(1, len(term)) + place) % max(1, len(term)), minlength=len(term))
+        yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(counts)], ["term", "n_term"])
+
+
 def _document_counts(held):
     """In how many documents each of the held terms is."""
 
@@ -118,10 +168,17 @@ def _document_counts(held):
     return run
 
 
+def _held(terms: DataFrame) -> np.ndarray | None:
+    """The terms sorted, 8 MB at most; None if there are more."""
+    if terms.limit(TERM_BLOCK + 1).count() > TERM_BLOCK:
+        return None
+    return np.sort(np.array([r["term"] for r in terms.toLocalIterator()], np.int64).view(np.uint64))
+
+
 def revealing_terms(rows: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosed: float = DISCLOSED, half: float = HALF) -> DataFrame:
     """term (hash), entity (hash) and disclosure of the words of rows (row_id, text) that give away protected entities."""
     spark = rows.sparkSession
-    marked = rows.where(F.col("text").rlike("[0-9@]")).select("row_id", "text")
+    marked = rows.where(F.col("text").rlike("[0-9@]")).select("row_id", "text")  # no entity is without a digit or @
     met = marked.mapInArrow(_contexts(near), "term long, entity long, row_id long").distinct()
     texts = rows.select("row_id", F.xxhash64("text").alias("same"))
     met = written(met.join(texts, "row_id"), "met")
@@ -130,20 +187,13 @@ def revealing_terms(rows: DataFrame, near: int = NEAR, support: int = SUPPORT, d
     supported = met.select("term", "entity", "same").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
     both = met.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).join(supported, ["term", "entity"])
     candidates = written(both, "candidates")
-    terms = candidates.select("term").distinct()
-    blocks = 1 + terms.count() // TERM_BLOCK
-    counted = []
-    for block in range(blocks):
-        own = terms.where(F.pmod("term", F.lit(blocks)) == block) if blocks > 1 else terms
-        held = np.sort(np.array([r["term"] for r in own.toLocalIterator()], np.int64).view(np.uint64))  # about TERM_BLOCK
-        if len(held):
-            counts = rows.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(held)), "term long, n_term long")
-            counted.append(counts.groupBy("term").agg(F.sum("n_term").alias("n_term")))
-    if not counted:
-        return spark.createDataFrame([], "term long, entity long, disclosure double")
-    totals = counted[0]
-    for more in counted[1:]:
-        totals = totals.unionByName(more)
+    terms = written(candidates.select("term").distinct(), "terms")
+    held = _held(terms)
+    if held is not None:
+        counts = rows.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(held)), "term long, n_term long")
+    else:
+        counts = rows.select("text").mapInArrow(_all_document_counts, "term long, n_term long").join(terms, "term", "left_semi")
+    totals = counts.groupBy("term").agg(F.sum("n_term").alias("n_term"))
     n = rows.count()
     given, alone = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.lit(n)
     disclosure = F.log2(given / alone) / F.log2(1 / alone)
@@ -155,30 +205,45 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
-def _term_spans(texts: pa.Array, lookup: Lookup) -> dict[int, list[tuple[int, int, int]]]:
-    """The words to be generalised in each text that has any."""
-    words, found = words_of(texts, ALNUM), {}
-    at, _ = lookup.find(words.hash)
+def _word_spans(texts: pa.Array, words: Words, at: np.ndarray, kind: int) -> dict[int, list[tuple[int, int, int]]]:
+    """The words at some indexes as spans of each text that has any."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for w, i in zip(at.tolist(), (np.searchsorted(words.first, at, "right") - 1).tolist()):
         data, base = texts[i].as_py().encode(), words.text[i]
         start = len(data[: words.start[w] - base].decode())
-        found.setdefault(i, []).append((start, 4, start + len(data[words.start[w] - base : words.end[w] - base].decode())))
+        found.setdefault(i, []).append((start, kind, start + len(data[words.start[w] - base : words.end[w] - base].decode())))
     return found
 
 
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word with its place among those of its text."""
+    for part in small_batches(batches, "text"):
+        words = words_of(part["text"], ALNUM)
+        sizes = np.diff(words.first)
+        yield pa.record_batch(
+            [pa.array(words.hash.view(np.int64)), pa.array(np.repeat(part["row_id"].to_numpy(), sizes)), pa.array(np.arange(len(words.hash)) - np.repeat(words.first[:-1], sizes))],
+            ["term", "row_id", "place"],
+        )
+
+
 def _marked(held, keep: tuple[str, ...], clean: bool):
-    """The kept columns with the spans of each text, and the text without them."""
+    """The kept columns with the spans of each text, and the text without them. Terms are those held, or at the places listed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(held.value)
+        lookup = Lookup(held.value) if held is not None else None
         for part in small_batches(batches, "__text"):
-            texts = part["__text"].to_pylist()
-            terms = _term_spans(part["__text"], lookup) if len(held.value) else {}
+            column, texts = part["__text"], part["__text"].to_pylist()
+            words = words_of(column, ALNUM)
+            if lookup is not None:
+                told = lookup.find(words.hash)[0]
+            else:
+                told = np.array([a + p for a, places in zip(words.first.tolist(), part["__places"].to_pylist()) for p in sorted(places or ())], np.int64)
+            terms, keys = _word_spans(column, words, told, TERM), _word_spans(column, words, key_words(column, words), KEY)
             spans = []
             for i, text in enumerate(texts):
                 own = base_spans(text)
-                # a term inside a base span is covered by it
-                spans.append(sorted(own + [s for s in terms.get(i, ()) if not any(a <= s[0] and s[2] <= b for a, _, b in own)]))
+                # a word inside a base span is covered by it
+                spans.append(sorted(own + [s for s in [*terms.get(i, ()), *keys.get(i, ())] if not any(a <= s[0] and s[2] <= b for a, _, b in own)]))
             columns = [*(part[c] for c in keep), pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans], _SPAN_TYPE)]
             if clean:
                 columns.append(pa.array([cleaned(t, s) for t, s in zip(texts, spans)], pa.string()))
@@ -205,13 +270,16 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: b
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
-    revealing = written(revealing_terms(numbered(docs.select(text)), **thresholds).select("term").distinct(), "revealing")
-    if revealing.limit(TERM_BLOCK + 1).count() > TERM_BLOCK:
-        raise ValueError(f"more than {TERM_BLOCK} terms reveal entities: raise support or thresholds")
-    told = np.sort(np.array([r["term"] for r in revealing.collect()], np.int64).view(np.uint64))  # 8 MB at most
-    kinds = dict(docs.dtypes)
+    rows = numbered(docs.select(text))
+    revealing = written(revealing_terms(rows, **thresholds).select("term").distinct(), "revealing")
+    told, kinds = _held(revealing), dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", spans {_SPANS}" + ", clean_text string" * clean
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_marked(spark.sparkContext.broadcast(told), keep, clean), schema)
+    if told is not None:
+        return docs.select(*keep, text.alias("__text")).mapInArrow(_marked(spark.sparkContext.broadcast(told), keep, clean), schema)
+    found = rows.mapInArrow(_places, "term long, row_id long, place long").join(revealing, "term")
+    lists = found.groupBy("row_id").agg(F.collect_list("place").alias("__places"))  # no more than a text has words
+    held = numbered(docs.select(*keep, text.alias("__text")), "__row").join(lists.withColumnRenamed("row_id", "__row"), "__row", "left")
+    return held.select(*keep, "__text", "__places").mapInArrow(_marked(None, keep, clean), schema)
 
 
 def span_text(spans) -> Column:
