@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from camtrail.functions.text import upload_suffix
+from camtrail.functions.text import new_media_id, upload_suffix
 
 
 def media_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -16,5 +16,10 @@ def media_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def uploads(media: DataFrame) -> DataFrame:
-    """Adds saved_name, media_id and the suffix of the upload's name, to media (media_id, source_name)."""
+    """Adds saved_name, the media_id with the upload's suffix, to media (media_id, source_name)."""
     return media.withColumn("saved_name", F.concat("media_id", upload_suffix(F.col("source_name"))))
+
+
+def new_uploads(named: DataFrame) -> DataFrame:
+    """Adds a new media_id, and saved_name, to rows of source_name. Write the result before it is read twice: ids differ each time."""
+    return uploads(named.withColumn("media_id", new_media_id()))
