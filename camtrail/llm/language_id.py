@@ -24,6 +24,8 @@ from camtrail.llm.text_arrays import LOWER, joined
 FEATURES = 1 << 13
 #: Rows a language in the fitted sample, on average: the only bound of the fit. Languages have all their rows if fewer.
 SAMPLE = 400
+#: How often copies of a text in it count at most.
+COPIES = 8
 CENTROIDS = 4
 ROUNDS = 12
 SLACK = 0.5
@@ -86,7 +88,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in small_batches(batches, "text", 2 << 20):
         found = list(_trigram_counts(part["text"]))
-        yield pa.record_batch([part["lang"], pa.array([f.astype("<u2").tobytes() for f, _ in found]), pa.array([c.astype("<i4").tobytes() for _, c in found])], ["lang", "features", "counts"])
+        yield pa.record_batch([part["lang"], part["n"], pa.array([f.astype("<u2").tobytes() for f, _ in found]), pa.array([c.astype("<i4").tobytes() for _, c in found])], ["lang", "n", "features", "counts"])
 
 
 def _clustered(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -140,8 +142,10 @@ def fit(training: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)
-    # copies are drawn together and stand for one
-    rows = known.where(drawn).dropDuplicates(["lang", "text"]).mapInArrow(_featured, "lang string, features binary, counts binary").collect()  # about `sample` a language
+    # copies are drawn together: they come once, and count COPIES times at most
+    distinct = known.where(drawn).groupBy("lang", "text").agg(F.least(F.count(F.lit(1)), F.lit(COPIES)).alias("n"))
+    rows = distinct.mapInArrow(_featured, "lang string, n long, features binary, counts binary").collect()  # about `sample` a language
+    rows = [r for r in rows for _ in range(r["n"])]
     rows.sort(key=lambda r: (r["lang"], bytes(r["features"]), bytes(r["counts"])))
     weights, language, radius = [], [], []
     for i, lang in enumerate(model.languages):

@@ -44,6 +44,36 @@ def test_jaccard_pairs(stored):
     assert {tuple(r) for r in ngram_join.jaccard_pairs(table).collect()} == want
 
 
+def test_links_of_a_group_grow_with_its_size(stored, monkeypatch):
+    counts = []
+    kept = ngram_join.Verifier.links
+
+    def links(self, pairs):
+        counts.append(pairs.count())
+        return kept(self, pairs)
+
+    monkeypatch.setattr(ngram_join.Verifier, "links", links)
+    for m in (150, 600):
+        rng, base = random.Random(m), words(random.Random(1), 100, 5000).split()
+        docs = [(i, " ".join([*base[:k], f"v{i}", *base[k + 1 :]])) for i in range(m) for k in [rng.randrange(100)]]
+        counts.append(0)
+        found = ngram_join.jaccard_components(stored(docs, name=f"group{m}"))
+        assert found.where("component_id = 0").count() == m
+        assert sum(counts[-len(counts) + counts.index(0) :]) < 40 * m
+        counts.clear()
+
+
+def test_words_that_defeat_polynomial_hashes(stored):
+    turn = str.maketrans("ab", "ba")
+    word = lambda n, t="a": t if len(t) >= n else word(n, t + t.translate(turn))
+    docs = [(i, t) for n in (512, 1024, 4096, 8192) for i, t in ((n, word(n)), (n + 1, word(n).translate(turn)))]
+    assert all(r["doc_id"] == r["component_id"] for r in ngram_join.jaccard_components(stored(docs)).collect())
+    hits = decontaminate.contamination(stored(docs), stored([(1, docs[2][1])], "item_id long, text string", name="items"))
+    assert {r["doc_id"] for r in hits.where("n_hit > 0").collect()} == {1024}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in repeats.deduplicated(stored(docs)).collect()}
+    assert [got[d] for d, _ in docs] == brute.repeated_bytes(docs)
+
+
 def test_jaccard_of_odd_rows(stored):
     docs = [(5, "a b c d e"), (3, "A b c d E"), (3, "A b c d E"), (None, "a b c d e"), (None, None), (9, None), (None, "q")]
     rows = stored([(*d, 1, "x") for d in docs], "doc_id long, text string, size int, entry string")

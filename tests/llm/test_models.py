@@ -53,10 +53,35 @@ def test_scores_beat_the_base_on_held_out_texts(spark):
 
 def test_probabilities_of_a_slice_sum_to_one_at_most():
     rng = np.random.default_rng(1)
-    tree = np.sort(np.arange(0, 256, dtype=np.uint64) << np.uint64(56))
-    counts = np.where(rng.random((256, context_mixing.CLASSES)) < 0.4, 0, rng.integers(0, 50, (256, context_mixing.CLASSES)))
-    total = np.exp(context_mixing.slice_scores(tree, counts, 0, 8)).sum(0)
-    assert (total < 1.05).all() and (total > 0.6).all()
+    tree = np.sort(np.arange(0, 256, dtype=np.uint64) << np.uint64(56))[rng.random(256) < 0.8]
+    counts = np.where(rng.random((len(tree), context_mixing.CLASSES)) < 0.4, 0, rng.integers(0, 50, (len(tree), context_mixing.CLASSES)))
+    counts[:, 0] += 1
+    for depth in (5, 8, 14):  # words that share a leaf, and leaves without words
+        total = np.exp(context_mixing.slice_scores(tree, counts, 0, depth)).sum(0)
+        assert (total <= 1 + 1e-9).all() and (total > 0.6).all()
+
+
+def test_held_out_texts_change_no_score(stored):
+    docs = [(i, words(random.Random(i), 40, 200)) for i in range(60)]
+    held = [(1000 + i, words(random.Random(i), 40, 300)) for i in range(20)]
+    more = [(2000 + i, words(random.Random(90 + i), 50, 5000)) for i in range(100)]
+    trained = F.col("doc_id") < 1000
+    one = {r["doc_id"]: r["score"] for r in context_mixing.text_scores(stored(docs + held, files=1, name="one"), trained).collect()}
+    two = {r["doc_id"]: r["score"] for r in context_mixing.text_scores(stored(docs + held + more, files=1, name="two"), trained).collect()}
+    assert all(two[d] == pytest.approx(s, rel=1e-12) for d, s in one.items())
+
+
+def test_all_words_of_a_model_and_the_unknown_ones_sum_to_one_at_most(stored):
+    """One-word texts, scored by a model of others: the mass of known words, and of unknown ones as a single event."""
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(80)]
+    docs = [(i, " ".join(rng.choices(names, range(80, 0, -1), k=30))) for i in range(50)]
+    known = sorted({w for _, t in docs for w in t.split()})
+    asked = [(1000 + i, w) for i, w in enumerate([*known, "never", "other"])]
+    found = {r["doc_id"]: r for r in context_mixing.text_scores(stored(docs + asked), F.col("doc_id") < 1000).collect()}
+    assert found[1000 + len(known)]["score"] == pytest.approx(found[1001 + len(known)]["score"])
+    # a text is its word and its end: both together are no likelier than the word alone
+    assert sum(10 ** found[1000 + i]["score"] for i in range(len(known) + 1)) <= 1 + 1e-9
 
 
 def test_word_order_counts(stored):
@@ -81,8 +106,9 @@ def test_word_order_counts(stored):
 
 def test_mixed_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    base, counts = rng.dirichlet(np.ones(6)), rng.integers(0, 5, (6, 2))
-    history = np.log(rng.random(40)), rng.integers(0, 9, (40, 2)).astype(float)
+    k = len(context_mixing.HALF_SEEN)
+    base, counts = rng.dirichlet(np.ones(6)), rng.integers(0, 5, (6, k))
+    history = np.log(rng.random(40)), rng.integers(0, 9, (40, k)).astype(float)
     logs = []
     for w in range(6):
         plain = np.append(history[0], np.log(base[w]))
@@ -122,6 +148,50 @@ def test_personal_data(stored):
     assert private_data.personal_data(stored([], name="none")).count() == 0
 
 
+def disclosing(docs):
+    """The plain rule: which words reveal which entities, as (word, entity)."""
+    key = re.compile("[A-Za-z0-9]{20,}")
+    met, has, distinct = {}, {}, {}
+    for n, text in enumerate(docs):
+        found = [(m.start(), m.end(), w) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text)) for w in [m[0]]]
+        for _, _, w in found:
+            has.setdefault(w, set()).add(n)
+        spans = [(a, b, k) for a, k, b in private_data.base_spans(text)]
+        spans += [(a, b, private_data.KEY) for a, b, w in found if key.fullmatch(w) and re.search("[0-9]", w) and re.search("[a-z]", w)]
+        for a, b, kind in spans:
+            near = [w for _, y, w in found if y <= a][-private_data.NEAR :] + [w for x, _, w in found if x >= b][: private_data.NEAR]
+            for entity in private_data.entities_of(text[a:b].lower(), kind):
+                for w in near:
+                    met.setdefault((w, entity), set()).add(n)
+                distinct.setdefault(entity, set()).add(n)
+    out = set()
+    for (w, entity), both in met.items():
+        given, alone = len(both) / len(has[w]), len(distinct[entity]) / len(docs)
+        if len({docs[n] for n in both}) >= private_data.SUPPORT and given >= private_data.HALF and math.log2(given / alone) / math.log2(1 / alone) >= private_data.DISCLOSED:
+            out.add((w, entity))
+    return out
+
+
+@pytest.mark.parametrize("block", [private_data.TERM_BLOCK, 0])
+def test_disclosing_terms(stored, monkeypatch, block):
+    monkeypatch.setattr(private_data, "TERM_BLOCK", block)
+    rng = random.Random(6)
+    texts = [words(rng, 30, 150) for _ in range(120)]
+    texts += [f"{words(rng, 9, 150)} token = {rng.getrandbits(160):040x}a1 {words(rng, 9, 150)}" for _ in range(6)]
+    texts += [f"{words(rng, 9, 150)} Zorblatt@ {'x' * 90}{i % 2} é zb{i}@mail.example.com {words(rng, 9, 150)}" for i in range(6)]
+    texts += [f"ring desk +1 (555) 12{i}-4567 {words(rng, 9, 150)}" for i in range(5)] + ["ring 10.0.0.1 now"] * 4
+    want = disclosing(texts)
+    rows = stored([(i, t) for i, t in enumerate(texts)])
+    found = private_data.revealing_terms(private_data.numbered(rows)).collect()
+    word_of = {int(h.view(np.int64)): w for w in {x for t in texts for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(t))} for h in private_data.words_of(pa.array([w]), private_data.ALNUM).hash}
+    entities = {private_data._entity(e): e for _, e in want}
+    assert {(word_of[r["term"]], entities.get(r["entity"])) for r in found} == want
+    assert {"token", "zorblatt", "desk"} <= {w for w, _ in want}
+    marked = {r["doc_id"]: {t[s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == private_data.TERM} for r in private_data.personal_data(rows).collect() for t in [texts[r["doc_id"]]]}
+    terms = {w for w, _ in want}
+    assert all("token" in marked[i] for i in range(120, 126)) and all(found <= terms for found in marked.values())
+
+
 def test_languages(stored):
     rng = random.Random(3)
     syllables = {"xx": ["ba", "ka", "to"], "yy": ["üm", "ön", "äsch"]}
