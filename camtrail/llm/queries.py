@@ -12,6 +12,7 @@ from camtrail.llm.heap_bpe import encode_decode
 from camtrail.llm.language_id import fit, predict, remainder
 from camtrail.llm.ngram_join import jaccard_components
 from camtrail.llm.private_data import KINDS, personal_data, span_text
+from camtrail.llm.queries_sql import ORACLE_SQL
 from camtrail.llm.repeats import deduplicated
 from camtrail.llm.storage import new_path
 from camtrail.llm.tables import documents, table
@@ -19,6 +20,8 @@ from camtrail.llm.token_counts import token_counts
 from camtrail.llm.token_files import read_tokens, token_digests, write_tokens
 from camtrail.llm.vector_search import top_k
 
+__all__ = ["BYTE_BPE", "ORACLE_SQL", "QUERIES"]
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
 
@@ -94,18 +97,3 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode)}
-ORACLE_SQL = {
-    "op7_exact_top_k": """
-WITH good AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
-), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
-""",
-}
