@@ -44,7 +44,8 @@ def analyses(media: DataFrame, detections: DataFrame, status: dict[str, str], cl
     """One row a media item (media_id, media_type) as the ANALYSIS schema has it.
 
     detections are the rows of detection_rows(); a list is ordered by frame time and number. A media item has 90
-    frames at most, so its list stays small.
+    frames at most, so its list stays small. The counts by label come from the list, so detections, which may hold the
+    models' work, are computed once.
     """
     fields = [F.col(c) for c in ("media_id", "frame_time", "bbox", "detected_type", "species_label", "confidence", "preview_crop_path")]
     keyed = F.struct("frame_time", "det_index", F.struct(*fields).alias("detection"))
@@ -52,12 +53,14 @@ def analyses(media: DataFrame, detections: DataFrame, status: dict[str, str], cl
         F.transform(F.sort_array(F.collect_list(keyed)), lambda k: k["detection"]).alias("detections"),
         F.bool_and(F.col("species_label").isin(*DEMO_LABELS)).alias("all_demo"),
     )
-    joined = media.select("media_id", "media_type").join(listed, "media_id", "left").join(species_map(detections), "media_id", "left")
+    joined = media.select("media_id", "media_type").join(listed, "media_id", "left")
+    labels = F.transform("detections", lambda d: d["species_label"])
+    counts = F.transform(F.array_sort(F.array_distinct(labels)), lambda label: F.struct(label, F.size(F.filter(labels, lambda x: x == label)).cast("long")))
     empty = F.array().cast(dict(listed.dtypes)["detections"])
     return joined.select(
         "media_id", "media_type", F.when(F.col("media_type") == "image", annotated_path(F.col("media_id"))).alias("preview_url"),
         F.coalesce("detections", empty).alias("detections"),
-        F.coalesce("species_summary", F.create_map().cast("map<string,bigint>")).alias("species_summary"),
+        F.coalesce(F.map_from_entries(counts), F.create_map().cast("map<string,bigint>")).alias("species_summary"),
         F.create_map(*[F.lit(x) for pair in status.items() for x in pair]).cast("map<string,string>").alias("model_status"),
         message_of(F.size("detections"), F.col("all_demo"), classifier).alias("message"),
     )
