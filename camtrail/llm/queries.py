@@ -19,6 +19,7 @@ from camtrail.llm.tables import documents, table
 from camtrail.llm.token_counts import token_counts
 from camtrail.llm.token_files import read_tokens, token_digests, write_tokens
 from camtrail.llm.vector_search import top_k
+from camtrail.llm.web_archives import convert, read_warc, write_arc
 
 __all__ = ["BYTE_BPE", "ORACLE_SQL", "QUERIES"]
 
@@ -96,4 +97,12 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode)}
+def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages kept in ARC files of both versions, converted to WARC files and read back. A null html is an empty payload; a null page_id stays null."""
+    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arc(table(spark, sf_dir, "pages"), arc)
+    convert(spark, arc, warc)
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode, op12_web_archives)}

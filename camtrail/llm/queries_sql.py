@@ -102,9 +102,21 @@ WITH good AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+WEB_ARCHIVES = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), placed AS (
+  SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS first_id FROM payloads WINDOW same AS (PARTITION BY html ORDER BY page_id NULLS LAST)
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM placed
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard": NGRAM_JACCARD,
     "op6_decontaminate": DECONTAMINATE,
     "op7_exact_top_k": EXACT_TOP_K,
     "op8_repeated_bytes": REPEATED_BYTES,
+    "op12_web_archives": WEB_ARCHIVES,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,18 +36,25 @@ _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 8 << 20
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors. free: its shuffle files go at once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+@contextmanager
+def bounded_batches(spark: SparkSession, free: bool = False) -> Iterator[None]:
+    """Arrow batches stay small while something is written. free: its shuffle files go at once."""
     before = {k: spark.conf.get(k) for k in (_FREE, _ARROW_BYTES)}
     try:
         spark.conf.set(_FREE, str(free or before[_FREE] == "true").lower())
         spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. free: its shuffle files go at once."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with bounded_batches(spark, free):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

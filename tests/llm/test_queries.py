@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     found = duckdb.connect()
-    for name in ("documents", "benchmark", "embeddings"):
+    for name in ("documents", "benchmark", "embeddings", "pages", "conversations"):
         found.sql(f"create view {name} as select * from '{SF_DIR}/{name}.parquet'")
     return found
 
@@ -41,7 +41,7 @@ def test_sql(spark, tables, name):
     want = tables.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF_DIR)
     assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
+    assert sorted(map(repr, (tuple(r) for r in got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 def test_token_queries(spark, docs, ids):
