@@ -11,6 +11,7 @@ from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
 from camtrail.llm.language_id import fit, predict, remainder
 from camtrail.llm.ngram_join import jaccard_components
+from camtrail.llm.prefix_trie import conversation_trie
 from camtrail.llm.private_data import KINDS, personal_data, span_text
 from camtrail.llm.queries_sql import ORACLE_SQL
 from camtrail.llm.repeats import deduplicated
@@ -105,4 +106,9 @@ def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode, op12_web_archives)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations. Null roles and texts are empty; rows without conv_id take no part."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode, op12_web_archives, op13_prefix_trie)}

@@ -113,10 +113,42 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_dige
 FROM placed
 """
 
+#: The CRC is taken bit by bit; a prefix is its turns' digests, of 32 digits each.
+PREFIX_TRIE = """
+WITH marked AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(mark := mark, size := size) ORDER BY turn NULLS FIRST, mark) AS turns,
+    CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS BIGINT) AS h
+  FROM marked GROUP BY conv_id
+), sequences AS MATERIALIZED (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), members AS (
+  SELECT conv_id, depth, array_to_string(list_transform(turns[1:depth], lambda t: t.mark), '') AS prefix, len(turns) = depth AS ending, CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM sequences)
+), nodes AS MATERIALIZED (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS own_saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+  FROM members GROUP BY depth, prefix
+), children AS MATERIALIZED (
+  SELECT depth - 1 AS depth, left(prefix, 32 * (depth - 1)) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), summed AS (
+  SELECT up AS depth, left(prefix, 32 * up) AS prefix, sum(own_saved) AS saved, sum(leaf) AS n_leaves FROM (
+    SELECT n.prefix, n.own_saved, CASE WHEN c.depth IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, n.depth + 1)) AS up FROM nodes n LEFT JOIN children c ON n.depth = c.depth AND n.prefix = c.prefix
+  ) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN summed s ON n.depth = s.depth AND n.prefix = s.prefix LEFT JOIN children c ON n.depth = c.depth AND n.prefix = c.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = left(n.prefix, 32 * (n.depth - 1))
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard": NGRAM_JACCARD,
     "op6_decontaminate": DECONTAMINATE,
     "op7_exact_top_k": EXACT_TOP_K,
     "op8_repeated_bytes": REPEATED_BYTES,
     "op12_web_archives": WEB_ARCHIVES,
+    "op13_prefix_trie": PREFIX_TRIE,
 }

@@ -14,6 +14,10 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def decontaminate(docs, items, window=13):
     """docs, items: lists of (id, text). (n_words, n_hit, ids) for each document."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
