@@ -10,6 +10,7 @@ from camtrail.llm.context_mixing import text_scores
 from camtrail.llm.decontaminate import contaminated, contamination
 from camtrail.llm.heap_bpe import encode_decode
 from camtrail.llm.language_id import fit, predict, remainder
+from camtrail.llm.lexical_search import ranked
 from camtrail.llm.ngram_join import jaccard_components
 from camtrail.llm.prefix_trie import conversation_trie
 from camtrail.llm.private_data import KINDS, personal_data, span_text
@@ -98,6 +99,11 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), BYTE_BPE, digests=True)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item. Null texts hold no terms; items that meet nothing give no rows."""
+    return ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op12_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages kept in ARC files of both versions, converted to WARC files and read back. A null html is an empty payload; a null page_id stays null."""
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
@@ -111,4 +117,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode, op12_web_archives, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_context_mixing, op3_token_files, op4_token_counts, op5_personal_data, op6_decontaminate, op7_exact_top_k, op8_repeated_bytes, op9_language_id, op10_bpe_encode_decode, op11_lexical_search, op12_web_archives, op13_prefix_trie)}

@@ -113,6 +113,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_dige
 FROM placed
 """
 
+LEXICAL_SEARCH = rf"""
+WITH words AS MATERIALIZED (
+  SELECT row_id, doc_id, unnest(words) AS term, len(words) AS n FROM (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+  )
+), postings AS MATERIALIZED (
+  SELECT row_id, doc_id, term, n, count(*) AS tf FROM words GROUP BY ALL
+), collection AS (
+  SELECT count(DISTINCT row_id) AS docs, count(*) AS terms FROM words
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), collection
+), impacts AS (
+  SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS impact FROM postings JOIN weights USING (term), collection
+), items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark
+), wanted AS (
+  SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(words) AS term FROM items) GROUP BY ALL
+), scored AS (
+  SELECT item, item_id, row_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL HAVING sum(times * impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored
+QUALIFY rank <= 20
+"""
+
 #: The CRC is taken bit by bit; a prefix is its turns' digests, of 32 digits each.
 PREFIX_TRIE = """
 WITH marked AS (
@@ -149,6 +174,7 @@ ORACLE_SQL = {
     "op6_decontaminate": DECONTAMINATE,
     "op7_exact_top_k": EXACT_TOP_K,
     "op8_repeated_bytes": REPEATED_BYTES,
+    "op11_lexical_search": LEXICAL_SEARCH,
     "op12_web_archives": WEB_ARCHIVES,
     "op13_prefix_trie": PREFIX_TRIE,
 }
