@@ -63,6 +63,29 @@ def test_links_of_a_group_grow_with_its_size(stored, monkeypatch):
         counts.clear()
 
 
+def test_pairs_of_a_group_of_variants_grow_with_its_size(stored, monkeypatch):
+    """Five places of four variants: most pairs don't link, but chains of links join all."""
+    counts, kept = [], ngram_join.Verifier.links
+
+    def links(self, pairs):
+        counts.append(pairs.count())
+        return kept(self, pairs)
+
+    monkeypatch.setattr(ngram_join.Verifier, "links", links)
+    base = words(random.Random(1), 120, 5000).split()
+    for m in (400, 1600, 4000):
+        rng, docs = random.Random(m), []
+        for i in range(m):
+            text = list(base)
+            for place in (10, 35, 60, 85, 110):
+                text[place] = f"v{place}x{rng.randrange(4)}"
+            docs.append((i, " ".join(text)))
+        counts.clear()
+        found = ngram_join.jaccard_components(stored(docs, name=f"variants{m}"))
+        assert found.where("component_id = 0").count() == m
+        assert sum(counts) < 25 * m
+
+
 def test_words_that_defeat_polynomial_hashes(stored):
     turn = str.maketrans("ab", "ba")
     word = lambda n, t="a": t if len(t) >= n else word(n, t + t.translate(turn))
