@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = f"file://{tempfile.gettempdir()}/camtrail-shared"
     return folder.rstrip("/")
@@ -58,12 +59,27 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    """A mark for free_but_last()."""
+    return len(_WRITTEN)
+
+
+def free_but_last(mark: int) -> None:
+    """Removes what was written since the mark but the last table, for when nothing that will still run reads the others."""
+    for spark, path in _WRITTEN[mark:-1]:
+        _remove(spark, path)
+    del _WRITTEN[mark:-1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the context may have ended; the folder is temporary either way
             return
