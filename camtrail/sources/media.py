@@ -9,7 +9,7 @@ from camtrail.functions.text import new_media_id, upload_suffix
 
 
 def media_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """path, name, suffix and content of the files of a folder; content is read only where it is selected."""
+    """path, name, suffix and content of the files of a folder; content is read only where it is selected. Empty files give no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), upload_suffix(name).alias("suffix"), "content")
