@@ -1,45 +1,29 @@
-"""Incremental ingest of stored analyses: a file stream into a keyed table."""
+"""Incremental ingest of stored analyses: a file stream into a history."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from camtrail.sources.history import History
 from camtrail.sources.results import parsed
 
 
 def result_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Whole analyses of the files that arrive in a folder, with the time they were written; others are skipped."""
     files = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    return parsed(files.select("value", F.col("_metadata.file_modification_time").alias("modified")))
+    return parsed(files.select("value", F.col("_metadata.file_modification_time").alias("saved_at")))
 
 
-def latest(analyses: DataFrame) -> DataFrame:
-    """The last written analysis of each media item."""
-    last = Window.partitionBy("media_id").orderBy(F.desc("modified"), "message")
-    return analyses.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place")
+def ingest(spark: SparkSession, folder: str, history: str, checkpoint: str) -> None:
+    """Takes in what is new in the folder and ends. Each batch is added once, by the number that the checkpoint gives it; nothing older is written again.
 
+    A history takes batches of one checkpoint.
+    """
+    kept = History(spark, history)
 
-def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> None:
-    """Takes in what is new in the folder and ends. The table folder keeps one row a media item, by hash buckets.
+    def add(batch: DataFrame, number: int) -> None:
+        kept.append(batch, name=f"stream-{number:012d}")
 
-    Only the buckets that a batch touches are written again.
-    """
-    buckets = 64
-
-    def merge(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64("media_id"), F.lit(buckets)).cast("int"))
-        try:
-            old = spark.read.schema(new.schema).parquet(table)
-        except Exception as problem:  # the first batch
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            old = spark.createDataFrame([], new.schema)
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-        if touched:
-            merged = latest(old.where(F.col("bucket").isin(touched)).unionByName(new))
-            merged = merged.checkpoint()  # read before its own folder is written
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-
-    stream = result_stream(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = result_stream(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
