@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from camtrail import adapter
 from camtrail.config import EngineConfig
 from camtrail.functions.labels import demo_label, knowledge_key
-from camtrail.functions.numbers import clipped, corners
+from camtrail.functions.numbers import clipped, corners, rounded
 from camtrail.functions.text import annotated_path, annotation_label, crop_name, origin_list, upload_suffix
 from camtrail.operators import detections as det
 from camtrail.operators import frames, summary, views
@@ -154,7 +154,7 @@ def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_table_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.result_table(_analyses(spark, sf_dir), with_empty=True)
-    return rows.select("media_id", "position", "species_label", "placeholder")
+    return rows.select("media_id", "position", "species_label", "crop", "placeholder")
 
 
 def media_type_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +180,18 @@ def latest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.latest_hints(results.newest(_records(spark, sf_dir), "saved_at", "media_id", 1))
 
 
+def latest_record_of_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record page tells where no record is: of all records none is of sound."""
+    return views.latest_hints(results.newest(_records(spark, sf_dir).where("media_type = 'audio'"), "saved_at", "media_id", 1))
+
+
+def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose printed digits end in a half, of which most lie above or below it, and their roundings to three and two places."""
+    value = (F.col("l_partkey") * 5 % 20_000).cast("double") / 10_000
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", value.alias("value"))
+    return rows.select("l_orderkey", "l_linenumber", rounded(F.col("value"), 3).alias("three"), rounded(F.col("value") / 3, 2).alias("two"))
+
+
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing after the oldest listed image was analysed again."""
     listed = _records(spark, sf_dir).select("media_id", "media_type", F.unix_micros(F.col("saved_at").cast("timestamp")).alias("seq"))
@@ -204,16 +216,24 @@ def json_props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def origin_list_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(EngineConfig.cors_origins,), (" a , ,b,",)], "origins string")
-    return given.select("origins", F.explode(origin_list(F.col("origins"))).alias("origin"))
+    """The parts between the commas of every text, as a list of origins is split."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", origin_list(F.coalesce("text", F.lit(""))).alias("parts"))
+    return texts.select("doc_id", F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", "|")).alias("parts_md5"))
 
 
 def plant_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_data.plant_library(spark).select("priority", "title", "latin", F.array_join("tags", "/").alias("tags"))
+    """Parts by the plant entry that stands for their key."""
+    entries = reference_data.plant_library(spark).select("priority", "title", "latin", F.array_join("tags", "/").alias("tags"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % len(reference_data.PLANTS)).cast("int").alias("priority"))
+    counted = parts.groupBy("priority").agg(F.count(F.lit(1)).alias("n_parts"))
+    return counted.join(F.broadcast(entries), "priority")  # entries: a fixed list
 
 
 def demo_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_data.demo_media(spark).select("priority", "title", "label", "file_name")
+    """Demo media by how many media items bear their file's name."""
+    demo = reference_data.demo_media(spark).select("priority", "title", "label", "file_name")
+    items = adapter.media(adapter.predictions(spark, sf_dir)).groupBy(F.lower("source_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_media"))
+    return items.join(F.broadcast(demo), "file_name")  # demo: a fixed list
 
 
 QUERIES = {
@@ -222,6 +242,6 @@ QUERIES = {
         detector_gate, combined_gate, combined_gate_include_low, threshold_sweep, empty_scene_skip, demo_label_lookup, demo_override, detection_rows, clip_bbox,
         annotation_text, crop_names, upload_suffixes, species_summary, species_summary_map, analysis_message, analysis_response, frame_sampling, frame_cap,
         knowledge_lookup, knowledge_labels, review_level, headline_insight, result_table, result_table_outer, media_type_route, record_counts, record_rows,
-        recent_results, latest_record, history_upsert, preview_source, session_summary, json_props_parse, origin_list_split, plant_library, demo_media,
+        recent_results, latest_record, latest_record_of_none, history_upsert, exact_rounding, preview_source, session_summary, json_props_parse, origin_list_split, plant_library, demo_media,
     )
 }

@@ -51,6 +51,12 @@ _KEY = """CASE WHEN contains({0}, '梅花鹿') THEN '梅花鹿' WHEN contains({0
 _LEVEL = "CASE WHEN {0} >= CAST(0.8 AS DOUBLE) THEN '可直接展示' WHEN {0} >= CAST(0.55 AS DOUBLE) THEN '建议复核' ELSE '保守显示' END"
 _CLASS = "CASE WHEN {0} >= CAST(0.8 AS DOUBLE) THEN 'good' WHEN {0} >= CAST(0.55 AS DOUBLE) THEN 'warn' ELSE 'low' END"
 _PERCENT = "CAST(CAST(floor({0} * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%'"
+_CROP = f"""'{views.API_BASE}/media/crops/' || p.media_id || '_' || lpad(CAST(CAST(trunc(frame_time * 1000) AS BIGINT) AS VARCHAR), 8, '0') || '_' || det_index || '.jpg'"""
+_HINTS = """SELECT coalesce('最新媒体类型：' || media_type, '{}') AS type_hint, coalesce('最新目标数：' || n_detections, '{}') AS target_hint, coalesce('最新结果：' || message, '{}') AS message_hint,
+  coalesce('{}' || message, '{}') AS note FROM (SELECT 1) LEFT JOIN (SELECT * FROM records WHERE {{}} ORDER BY saved_at DESC, media_id LIMIT 1) ON TRUE""".format(*views.NO_RECORD, views.LATEST, views.NO_HISTORY)
+#: The scaled value, and what it lost, by halves of its digits.
+_ROUNDED = """(SELECT (floor(p) + CASE WHEN p - floor(p) > 0.5 OR p - floor(p) = 0.5 AND (e > 0 OR e = 0 AND floor(p) % 2 = 1) THEN 1 ELSE 0 END) / CAST({1} AS DOUBLE)
+  FROM (SELECT p, (h * {1} - p) + (v - h) * {1} AS e FROM (SELECT v, v * CAST({1} AS DOUBLE) AS p, v * CAST(134217729 AS DOUBLE) - (v * CAST(134217729 AS DOUBLE) - v) AS h FROM (SELECT {0} AS v))))"""
 _VIDEOS = """
 videos AS (
   SELECT 'v' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS media_id,
@@ -106,24 +112,32 @@ FROM (SELECT r.media_id, {_KEY.format("coalesce(p.species_label, 'Unknown')")} A
     "review_level": _over(f"SELECT {_LEVEL.format('confidence')} AS label, {_CLASS.format('confidence')} AS class_name, count(*) AS n FROM kept GROUP BY 1, 2"),
     "headline_insight": _over(f"""SELECT r.media_id, coalesce(p.species_label, '{views.NOT_STARTED}') AS label, coalesce(p.confidence, CAST(0 AS DOUBLE)) AS confidence, r.n_detections,
   {_LEVEL.format("coalesce(p.confidence, CAST(0 AS DOUBLE))")} AS level, {_PERCENT.format("coalesce(p.confidence, CAST(0 AS DOUBLE))")} AS percent,
+  CASE WHEN r.n_detections > 0 THEN {_PERCENT.format("p.confidence")} || '{views.CONFIDENCE}' ELSE '{views.NO_CONFIDENCE}' END AS shown,
   {_KEY.format("coalesce(p.species_label, 'Unknown')")} AS knowledge_key FROM {_FIRST}""", _MESSAGES),
     "result_table": _over(f"""SELECT media_id, position, species_label, detected_type, printf('%.2fs', frame_time) AS seconds, {_PERCENT.format("confidence")} AS percent,
-  x || ',' || y || ',' || width || 'x' || height AS box FROM placed""", _MESSAGES),
-    "result_table_outer": _over(f"""SELECT r.media_id, p.position, p.species_label, CASE WHEN p.media_id IS NULL THEN '{views.NOTHING_KEPT}' END AS placeholder
+  x || ',' || y || ',' || width || 'x' || height AS box, {_CROP} AS crop FROM placed p""", _MESSAGES),
+    "result_table_outer": _over(f"""SELECT r.media_id, p.position, p.species_label, {_CROP} AS crop, CASE WHEN p.media_id IS NULL THEN '{views.NOTHING_KEPT}' END AS placeholder
 FROM records r LEFT JOIN placed p ON r.media_id = p.media_id""", _MESSAGES),
     "media_type_route": _over("SELECT media_id, CASE WHEN media_type = 'video' THEN 'video' ELSE 'image' END AS route FROM media"),
     "record_counts": _over("SELECT count(*) AS total, count(*) FILTER (media_type = 'image') AS images, count(*) FILTER (media_type = 'video') AS videos FROM listed", _MESSAGES),
     "record_rows": _over(f"SELECT media_id, CASE WHEN media_type = 'video' THEN '{views.VIDEO_TITLE}' ELSE '{views.IMAGE_TITLE}' END AS title, message, n_detections || ' 个目标' AS targets FROM listed", _MESSAGES),
     "recent_results": _over("SELECT media_id, row_number() OVER (ORDER BY saved_at DESC, media_id) AS place, n_detections, message FROM listed", _MESSAGES),
-    "latest_record": _over("SELECT '最新媒体类型：' || media_type AS type_hint, '最新目标数：' || n_detections AS target_hint, '最新结果：' || message AS message_hint FROM records ORDER BY saved_at DESC, media_id LIMIT 1", _MESSAGES),
+    "latest_record": _over(_HINTS.format("TRUE"), _MESSAGES),
+    "latest_record_of_none": _over(_HINTS.format("media_type = 'audio'"), _MESSAGES),
+    "exact_rounding": f"""SELECT l_orderkey, l_linenumber, {_ROUNDED.format("value", 1000)} AS three, {_ROUNDED.format("value / 3", 100)} AS two
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 5 % 20000 AS DOUBLE) / 10000 AS value FROM lineitem)""",
     "history_upsert": _over("""SELECT media_id, media_type FROM (
   SELECT media_id, media_type, CASE WHEN media_id = (SELECT media_id FROM records WHERE media_type = 'image' ORDER BY saved_at, media_id LIMIT 1) THEN 1 ELSE 0 END AS again, saved_at FROM records)
 ORDER BY again DESC, saved_at DESC, media_id LIMIT 25""", _MESSAGES),
     "preview_source": _over(f"SELECT media_id, CASE WHEN media_type = 'image' THEN '{views.API_BASE}/media/uploads/' || media_id || '_annotated.jpg' ELSE 'local:' || source_name END AS preview FROM media"),
     "session_summary": _over(f"SELECT media_id, source_name AS input, CAST(n_detections AS VARCHAR) AS targets, 'fallback-detector' AS detector, '{views.NOT_ANALYSED}' AS classifier FROM records", _MESSAGES),
     "json_props_parse": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS props FROM events""",
-    "origin_list_split": """SELECT * FROM (VALUES
-  ('http://localhost:5173,http://127.0.0.1:5173', 'http://localhost:5173'), ('http://localhost:5173,http://127.0.0.1:5173', 'http://127.0.0.1:5173'), (' a , ,b,', 'a'), (' a , ,b,', 'b')) AS t(origins, origin)""",
-    "plant_library": f"SELECT CAST(priority AS INTEGER) AS priority, title, latin, tags FROM (VALUES {_texts((i, p[0], p[1], '/'.join(p[2])) for i, p in enumerate(reference_data.PLANTS))}) AS t(priority, title, latin, tags)",
-    "demo_media": f"SELECT CAST(priority AS INTEGER) AS priority, title, label, file_name FROM (VALUES {_texts((i, m[0], m[1], m[4]) for i, m in enumerate(reference_data.DEMO_MEDIA))}) AS t(priority, title, label, file_name)",
+    "origin_list_split": r"""SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_parts, md5(array_to_string(parts, '|')) AS parts_md5 FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda x: x <> '') AS parts FROM documents)""",
+    "plant_library": f"""SELECT t.priority, title, latin, tags, count(*) AS n_parts
+FROM part JOIN (SELECT CAST(priority AS INTEGER) AS priority, title, latin, tags FROM (VALUES {_texts((i, p[0], p[1], '/'.join(p[2])) for i, p in enumerate(reference_data.PLANTS))}) AS v(priority, title, latin, tags)) t
+  ON p_partkey % {len(reference_data.PLANTS)} = t.priority GROUP BY ALL""",
+    "demo_media": _over(f"""SELECT t.file_name, priority, title, label, count(*) AS n_media
+FROM media JOIN (SELECT CAST(priority AS INTEGER) AS priority, title, label, file_name FROM (VALUES {_texts((i, m[0], m[1], m[4]) for i, m in enumerate(reference_data.DEMO_MEDIA))}) AS v(priority, title, label, file_name)) t
+  ON lower(source_name) = t.file_name GROUP BY ALL"""),
 }

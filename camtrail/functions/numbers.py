@@ -1,4 +1,4 @@
-"""Numbers of detections and frames. bround keeps halves even, as the shown decimals have them."""
+"""Numbers of detections and frames."""
 
 from __future__ import annotations
 
@@ -9,8 +9,35 @@ FALLBACK_FPS = 25.0
 LEAST_INTERVAL = 0.2
 
 
+#: Splits a double into two halves of its digits.
+_SPLIT = float((1 << 27) + 1)
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    high = x * _SPLIT - (x * _SPLIT - x)
+    return high, x - high
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x rounded to so many places (8 at most) by its exact binary value; halves, which are rare there, to even.
+
+    2.675 lies below the middle of 2.67 and 2.68 and becomes 2.67, which bround and round, going by the printed digits,
+    miss. The scaled value and what it lost are two doubles, whose sum is exact. NaN and values too large for digits
+    after the point stay.
+    """
+    scale, one = 10.0**places, F.abs(x)
+    high, low = _halves(one)
+    product = one * scale
+    lost = (high * scale - product) + low * scale
+    whole = F.floor(product).cast("double")
+    over = product - whole - 0.5
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    found = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.isnan(x) | (one >= float(1 << 52) / scale), x).otherwise(F.when(x < 0, -found).otherwise(found))
+
+
 def combined_confidence(detector: Column, classifier: Column) -> Column:
-    return F.bround(F.least(detector, classifier), 3)
+    return rounded(F.least(detector, classifier), 3)
 
 
 def effective_fps(reported: Column) -> Column:
@@ -23,7 +50,7 @@ def frame_step(fps: Column, interval: Column) -> Column:
 
 
 def frame_time(index: Column, fps: Column) -> Column:
-    return F.bround(index / fps, 2)
+    return rounded(index / fps, 2)
 
 
 def clipped(box: Column, width: Column, height: Column) -> Column:

@@ -27,7 +27,7 @@ def annotated_path(media_id: Column) -> Column:
 
 def annotation_label(label: Column, confidence: Column) -> Column:
     """Whole percent, halves to even."""
-    return F.concat(label, F.lit(" "), F.bround(confidence * 100).cast("int").cast("string"), F.lit("%"))
+    return F.concat(label, F.lit(" "), F.rint(confidence * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def shown_percent(confidence: Column) -> Column:
@@ -44,8 +44,8 @@ def shown_box(box: Column) -> Column:
 
 
 def origin_list(origins: Column) -> Column:
-    """The parts between commas, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(origins, ","), lambda part: F.trim(part)), lambda part: part != "")
+    """The parts between commas without white space around them, without empty ones."""
+    return F.filter(F.transform(F.split(origins, ","), lambda part: F.regexp_replace(part, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")), lambda part: part != "")
 
 
 def new_media_id() -> Column:

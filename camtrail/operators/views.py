@@ -17,6 +17,9 @@ REVIEW_LEVELS = (
 LOW_LEVEL = ("保守显示", "low", "当前置信度偏低，前端会倾向保守表达，以免把候选结果说成定论。")
 NOT_STARTED = "未开始分析"
 NOTHING_KEPT = "当前阈值下没有保留下来结果"
+NO_CONFIDENCE, CONFIDENCE = "上传素材后会显示候选结果", " 置信度"
+NO_RECORD = ("暂无最近结果", "上传素材后会自动出现在这里", "可作为演示回放入口")
+NO_HISTORY, LATEST = "当前还没有历史记录，上传一张图就会出现这里。", "最新一条结果："
 NOT_CHOSEN, NOT_ANALYSED = "未选择", "待分析"
 VIDEO_TITLE, IMAGE_TITLE = "视频分析", "图片分析"
 
@@ -34,10 +37,10 @@ def review_level(confidence: Column) -> Column:
 
 
 def headline(analyses: DataFrame) -> DataFrame:
-    """The first detection's label and confidence, or defaults; the review level, and the key of its knowledge entry."""
+    """The first detection's label and confidence, or defaults, as numbers and as shown; the review level, and the key of its knowledge entry."""
     first = F.get("detections", F.lit(0))
     shown = analyses.select("media_id", F.coalesce(first["species_label"], F.lit(NOT_STARTED)).alias("label"), F.coalesce(first["confidence"], F.lit(0.0)).alias("confidence"), F.size("detections").cast("long").alias("n_detections"), first["species_label"].alias("species"))
-    return shown.select("media_id", "label", "confidence", "n_detections", review_level(F.col("confidence"))["label"].alias("level"), shown_percent(F.col("confidence")).alias("percent"), knowledge_key(F.col("species")).alias("knowledge_key"))
+    return shown.select("media_id", "label", "confidence", "n_detections", review_level(F.col("confidence"))["label"].alias("level"), shown_percent(F.col("confidence")).alias("percent"), F.when(F.col("n_detections") > 0, F.concat(shown_percent(F.col("confidence")), F.lit(CONFIDENCE))).otherwise(NO_CONFIDENCE).alias("shown"), knowledge_key(F.col("species")).alias("knowledge_key"))
 
 
 def knowledge_of(analyses: DataFrame, knowledge: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def result_table(analyses: DataFrame, with_empty: bool = False) -> DataFrame:
     columns = [
         F.col("media_id"), F.col("position"), F.col("d.species_label").alias("species_label"), F.col("d.detected_type").alias("detected_type"),
         F.when(~none, shown_seconds(F.col("d.frame_time"))).alias("seconds"), shown_percent(F.col("d.confidence")).alias("percent"),
-        F.when(~none, shown_box(F.col("d.bbox"))).alias("box"),
+        F.when(~none, shown_box(F.col("d.bbox"))).alias("box"), F.when(~none, crop_address(F.col("d.preview_crop_path"))).alias("crop"),
     ]
     return rows.select(*columns, F.when(none, F.lit(NOTHING_KEPT)).alias("placeholder")) if with_empty else rows.select(*columns)
 
@@ -71,12 +74,20 @@ def record_rows(records: DataFrame) -> DataFrame:
 
 
 def latest_hints(records: DataFrame) -> DataFrame:
-    """The three lines about the newest record."""
-    return records.select(
+    """The three lines about the newest record and the note of the overview; a listing without records has the texts for that. records: one row or none."""
+    shown = records.select(
         F.concat(F.lit("最新媒体类型："), "media_type").alias("type_hint"),
         F.concat(F.lit("最新目标数："), F.col("n_detections").cast("string")).alias("target_hint"),
         F.concat(F.lit("最新结果："), "message").alias("message_hint"),
+        F.concat(F.lit(LATEST), "message").alias("note"),
     )
+    # an aggregate of no rows is a row of nulls
+    defaults = dict(zip(shown.columns, (*NO_RECORD, NO_HISTORY)))
+    return shown.agg(*(F.coalesce(F.first(name), F.lit(default)).alias(name) for name, default in defaults.items()))
+
+
+def crop_address(path: Column, base: str = API_BASE) -> Column:
+    return F.concat(F.lit(base), path)
 
 
 def preview_source(preview_url: Column, local: Column, base: str = API_BASE) -> Column:

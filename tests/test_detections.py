@@ -1,6 +1,7 @@
 """Gates, override, names and sampling against plain restatements."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,23 @@ def test_shown_numbers(spark):
     assert tuple(shown) == ("a 88%", "89%", "m_00002009_3.jpg", "1.50s")
 
 
+def test_rounding_is_exact(spark):
+    rng = random.Random(4)
+    values = [2.675, 0.8845, 0.1235, 0.0005, 88.5, 0.5, 1.5, 2.5, 0.0, 1e300, 2.0**52, 2.0**53 + 2, 5e-324, 1e-9, math.inf, -2.675, -0.0005, 0.005, 1.005, 0.9995, 4503599627370.4965]
+    values += [rng.random() for _ in range(20_000)] + [rng.randrange(10**7) / 10**4 + 0.0005 for _ in range(20_000)] + [rng.randrange(1 << 30) / 1024 for _ in range(5000)]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(numbers.rounded(F.col("v"), p).alias(f"p{p}") for p in (0, 2, 3))).collect()
+    for r in found:
+        assert [r["p0"], r["p2"], r["p3"]] == [v if math.isinf(v := r["v"]) else float(round(v, p)) for p in (0, 2, 3)], r
+    odd = spark.createDataFrame([(math.nan,), (None,)], "v double").select(numbers.rounded(F.col("v"), 2)).collect()
+    assert math.isnan(odd[0][0]) and odd[1][0] is None
+
+
+def test_hints_without_records(spark):
+    records = spark.createDataFrame([("image", 2, "x")], "media_type string, n_detections long, message string")
+    assert views.latest_hints(records).first()["target_hint"] == "最新目标数：2"
+    assert tuple(views.latest_hints(records.limit(0)).first()) == (*views.NO_RECORD, views.NO_HISTORY)
+
+
 @pytest.mark.parametrize("confidence, name", [(0.8, "good"), (0.7999, "warn"), (0.55, "warn"), (0.5499, "low")])
 def test_review_level(spark, confidence, name):
     assert spark.range(1).select(views.review_level(F.lit(confidence))["class_name"]).first()[0] == name
