@@ -57,8 +57,15 @@ def test_probabilities_of_a_slice_sum_to_one_at_most():
     counts = np.where(rng.random((len(tree), context_mixing.CLASSES)) < 0.4, 0, rng.integers(0, 50, (len(tree), context_mixing.CLASSES)))
     counts[:, 0] += 1
     for depth in (5, 8, 14):  # words that share a leaf, and leaves without words
-        total = np.exp(context_mixing.slice_scores(tree, counts, 0, depth)).sum(0)
+        total = np.exp(context_mixing.tree_scores(tree, counts, 0, depth)).sum(0)
         assert (total <= 1 + 1e-9).all() and (total > 0.6).all()
+    # trees of prefixes, each by itself and all at once
+    every = context_mixing.tree_scores(tree, counts, 3)
+    apart = [context_mixing.tree_scores(tree[own], counts[own], 3) for p in range(8) for own in [tree >> np.uint64(61) == np.uint64(p)]]
+    assert np.allclose(every, np.concatenate(apart), rtol=1e-12)
+    sums = np.add.reduceat(np.exp(every), np.flatnonzero(np.diff((tree >> np.uint64(61)).astype(int), prepend=-1)))
+    assert (sums <= 1 + 1e-9).all() and (sums > 0.6).all()
+    assert context_mixing.tree_scores(tree[:1], counts[:1], 3).tolist() == [[0.0] * context_mixing.CLASSES]
 
 
 def test_held_out_texts_change_no_score(stored):
@@ -71,6 +78,18 @@ def test_held_out_texts_change_no_score(stored):
     assert all(two[d] == pytest.approx(s, rel=1e-12) for d, s in one.items())
 
 
+def test_scores_follow_from_the_training_texts_alone(stored, monkeypatch):
+    """More training texts than the sample, held-out ones before them, in another order, in more slices."""
+    docs = [(i, words(random.Random(i), 1 + i % 40, 300)) for i in range(2000)] + [(3000 + i, "one text that is copied") for i in range(300)]
+    held = [(5000 + i, words(random.Random(-i), 30, 500)) for i in range(200)]
+    trained = F.col("doc_id") < 5000
+    score = lambda rows, name: {r["doc_id"]: r["score"] for r in context_mixing.text_scores(stored(rows, files=1, name=name), trained).collect()}
+    one = score(docs, "one")
+    monkeypatch.setattr(context_mixing, "SLICE_BYTES", 1 << 9)
+    two = score(held + docs[::-1], "two")
+    assert all(two[d] == pytest.approx(s, rel=1e-9) for d, s in one.items())
+
+
 def test_all_words_of_a_model_and_the_unknown_ones_sum_to_one_at_most(stored):
     """One-word texts, scored by a model of others: the mass of known words, and of unknown ones as a single event."""
     rng = random.Random(3)
@@ -246,6 +265,11 @@ def test_queries_return_the_contracts_columns(spark):
         "op9_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
         "op10_bpe_encode_decode": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     }
+    kinds |= {
+        "op11_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+        "op12_web_archives": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+        "op13_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    }
     assert set(kinds) == set(QUERIES)
     for name, want in kinds.items():
         assert want.items() <= dict(QUERIES[name](spark, SF_DIR).dtypes).items()
