@@ -2,9 +2,9 @@
 
 Patterns find e-mail and IP addresses, card and phone numbers; words of KEY_LENGTH or more bytes that mix letters and
 digits are protected as keys. Entities are each such value, what it shares with others (mail domain and local part,
-first digits or parts of numbers), and its kind as a whole. For each word that stands near an entity the corpus tells
+first digits or parts of numbers), and its kind as a whole. Terms are words and pairs of neighbouring words. For each term that stands near an entity the corpus tells
 how strongly it reveals it: with document frequencies, P(e | t) against P(e), as the share of the entity's
-log2(1 / P(e)) bits that the word gives away. Words that give away DISCLOSED or more of some entity, and have it near
+log2(1 / P(e)) bits that the term gives away. Terms that give away DISCLOSED or more of some entity, and have it near
 them in HALF or more of their documents, are generalised wherever they stand; evidence from fewer than SUPPORT different
 texts does not count. Frequencies cover all documents.
 """
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from camtrail.llm.decontaminate import Lookup
 from camtrail.llm.storage import written
 from camtrail.llm.tables import numbered, small_batches
-from camtrail.llm.text_arrays import ALNUM, Words, joined, words_of
+from camtrail.llm.text_arrays import ALNUM, Words, joined, mixed, words_of
 
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 KINDS = ("email", "ip", "card", "phone", "term", "key")
 TERM, KEY = KINDS.index("term"), KINDS.index("key")
 KEY_LENGTH = 20
@@ -115,25 +118,45 @@ def _byte_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
+def _terms_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of each word with the next (of a text's last word: with one of another text, or itself)."""
+    return words.hash, mixed(words.hash * _PAIR + np.append(words.hash[1:], words.hash[-1:]))
+
+
+def _terms_by_text(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every term, the index of its first word, and the index of its text."""
+    single, pair = _terms_of(words)
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    at = np.concatenate([np.arange(len(single)), inside])
+    return np.concatenate([single, pair[inside]]), at, text[at]
+
+
 def _contexts(near: int):
-    """The words near each entity: term, entity, row_id."""
+    """The terms near each entity: term, entity, row_id, and a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, "text"):
             words, met = words_of(part["text"], ALNUM), set()
+            single, pair = _terms_of(words)
+            data, _ = joined(part["text"])
             keys = key_words(part["text"], words)
             of = np.searchsorted(words.first, keys, "right") - 1
-            texts, rows = part["text"].to_pylist(), part["row_id"].to_pylist()
-            ranges = [(i, KEY, texts[i].encode()[words.start[k] - words.text[i] : words.end[k] - words.text[i]].decode(), int(words.start[k]), int(words.end[k])) for k, i in zip(keys.tolist(), of.tolist())]
+            texts, rows, same = part["text"].to_pylist(), part["row_id"].to_pylist(), {}
+            ranges = [(i, KEY, data[words.start[k] : words.end[k]].tobytes().decode(), int(words.start[k]), int(words.end[k])) for k, i in zip(keys.tolist(), of.tolist())]
             for i, text in enumerate(texts):
                 spans = base_spans(text)
                 ranges += [(i, kind, text[a:b], int(words.text[i]) + x, int(words.text[i]) + y) for (a, kind, b), (x, y) in zip(spans, _byte_spans(text, spans))]
             for i, kind, value, a, b in ranges:
+                if i not in same:
+                    same[i] = _entity(texts[i])
                 before, after = np.searchsorted(words.end, a, "right"), np.searchsorted(words.start, b)
-                terms = {*words.hash[max(words.first[i], before - near) : before].tolist(), *words.hash[after : min(words.first[i + 1], after + near)].tolist()}
-                met.update((t, e, rows[i]) for e in map(_entity, entities_of(value.lower(), kind)) for t in terms)
-            terms, entities, ids = zip(*met) if met else ((), (), ())
-            yield pa.record_batch([pa.array(np.array(terms, np.uint64).view(np.int64)), pa.array(entities, pa.int64()), pa.array(ids, pa.int64())], ["term", "entity", "row_id"])
+                low, high = max(words.first[i], before - near), min(words.first[i + 1], after + near)
+                sides = ((low, before), (after, high))
+                terms = {t for x, y in sides for t in (*single[x:y].tolist(), *pair[x : max(x, y - 1)].tolist())}
+                met.update((t, e, rows[i], same[i]) for e in map(_entity, entities_of(value.lower(), kind)) for t in terms)
+            terms, entities, ids, texts = zip(*met) if met else ((), (), (), ())
+            yield pa.record_batch([pa.array(np.array(terms, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (entities, ids, texts))], ["term", "entity", "row_id", "same"])
 
     return run
 
@@ -143,11 +166,10 @@ def _entity(value: str) -> int:
 
 
 def _all_document_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of a batch each word is."""
+    """In how many documents of a batch each term is."""
     for part in small_batches(batches, "text"):
-        words = words_of(part["text"], ALNUM)
-        term, place = np.unique(words.hash, return_inverse=True)
-        text = np.repeat(np.arange(part.num_rows), np.diff(words.first))
+        terms, _, text = _terms_by_text(words_of(part["text"], ALNUM))
+        term, place = np.unique(terms, return_inverse=True)
         counts = np.bincount(np.unique(text * max(1, len(term)) + place) % max(1, len(term)), minlength=len(term))
         yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(counts)], ["term", "n_term"])
 
@@ -158,10 +180,9 @@ def _document_counts(held):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, counts = Lookup(held.value), np.zeros(len(held.value), np.int64)
         for part in small_batches(batches, "text"):
-            words = words_of(part["text"], ALNUM)
-            at, term = lookup.find(words.hash)
-            text = np.searchsorted(words.first, at, "right") - 1
-            counts += np.bincount(np.unique(text * len(counts) + term) % max(1, len(counts)), minlength=len(counts))
+            terms, _, text = _terms_by_text(words_of(part["text"], ALNUM))
+            at, term = lookup.find(terms)
+            counts += np.bincount(np.unique(text[at] * len(counts) + term) % max(1, len(counts)), minlength=len(counts))
         found = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(held.value[found].view(np.int64)), pa.array(counts[found])], ["term", "n_term"])
 
@@ -176,12 +197,10 @@ def _held(terms: DataFrame) -> np.ndarray | None:
 
 
 def revealing_terms(rows: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosed: float = DISCLOSED, half: float = HALF) -> DataFrame:
-    """term (hash), entity (hash) and disclosure of the words of rows (row_id, text) that give away protected entities."""
+    """term (hash), entity (hash) and disclosure of the words and pairs of words of rows (row_id, text) that give away protected entities."""
     spark = rows.sparkSession
     marked = rows.where(F.col("text").rlike("[0-9@]")).select("row_id", "text")  # no entity is without a digit or @
-    met = marked.mapInArrow(_contexts(near), "term long, entity long, row_id long").distinct()
-    texts = rows.select("row_id", F.xxhash64("text").alias("same"))
-    met = written(met.join(texts, "row_id"), "met")
+    met = written(marked.mapInArrow(_contexts(near), "term long, entity long, row_id long, same long").distinct(), "met")
     entities = met.select("entity", "row_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # copies are no evidence of their own: distinct texts first, so that no group is gathered
     supported = met.select("term", "entity", "same").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
@@ -205,25 +224,36 @@ _SPANS = "array<struct<start:int,kind:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
-def _word_spans(texts: pa.Array, words: Words, at: np.ndarray, kind: int) -> dict[int, list[tuple[int, int, int]]]:
-    """The words at some indexes as spans of each text that has any."""
+def _term_spans(words: Words, data: np.ndarray, at: np.ndarray, size: np.ndarray, kind: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Terms that begin at some words (sorted), of one word or two, as spans of each text that has any, in one pass over it; those that overlap are one."""
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for w, i in zip(at.tolist(), (np.searchsorted(words.first, at, "right") - 1).tolist()):
-        data, base = texts[i].as_py().encode(), words.text[i]
-        start = len(data[: words.start[w] - base].decode())
-        found.setdefault(i, []).append((start, kind, start + len(data[words.start[w] - base : words.end[w] - base].decode())))
+    text = np.searchsorted(words.first, at, "right") - 1
+    cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(at) else []
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        i = int(text[a])
+        base = int(words.text[i])
+        start, end = words.start[at[a:z]] - base, np.maximum.accumulate(words.end[at[a:z] + size[a:z] - 1] - base)
+        new = np.concatenate([[True], start[1:] >= end[:-1]])
+        start, end = start[new], end[np.append(np.flatnonzero(new)[1:] - 1, z - a - 1)]
+        # code points before each byte: bytes that begin one
+        points = np.concatenate([[0], np.cumsum((data[base : words.text[i + 1]] & 0xC0) != 0x80)])
+        found[i] = [(x, kind, y) for x, y in zip(points[start].tolist(), points[end].tolist())]
     return found
 
 
 def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word with its place among those of its text."""
+    """Every term with its place: twice the index of its first word in its text, and one more for a pair."""
     for part in small_batches(batches, "text"):
         words = words_of(part["text"], ALNUM)
-        sizes = np.diff(words.first)
-        yield pa.record_batch(
-            [pa.array(words.hash.view(np.int64)), pa.array(np.repeat(part["row_id"].to_numpy(), sizes)), pa.array(np.arange(len(words.hash)) - np.repeat(words.first[:-1], sizes))],
-            ["term", "row_id", "place"],
-        )
+        terms, at, text = _terms_by_text(words)
+        pair = np.arange(len(terms)) >= len(words.hash)
+        yield pa.record_batch([pa.array(terms.view(np.int64)), pa.array(part["row_id"].to_numpy()[text]), pa.array(2 * (at - words.first[text]) + pair)], ["term", "row_id", "place"])
+
+
+def _not_inside(spans: list[tuple[int, int, int]], own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that no one of own (ordered) covers."""
+    starts, ends = [a for a, _, _ in own], list(accumulate((b for _, _, b in own), max))
+    return [s for s in spans if not (n := bisect_right(starts, s[0])) or ends[n - 1] < s[2]]
 
 
 def _marked(held, keep: tuple[str, ...], clean: bool):
@@ -233,17 +263,21 @@ def _marked(held, keep: tuple[str, ...], clean: bool):
         lookup = Lookup(held.value) if held is not None else None
         for part in small_batches(batches, "__text"):
             column, texts = part["__text"], part["__text"].to_pylist()
-            words = words_of(column, ALNUM)
+            words, (data, _) = words_of(column, ALNUM), joined(column)
             if lookup is not None:
-                told = lookup.find(words.hash)[0]
+                terms, at, _ = _terms_by_text(words)
+                told = lookup.find(terms)[0]
+                at, size = at[told], 1 + (told >= len(words.hash))
             else:
-                told = np.array([a + p for a, places in zip(words.first.tolist(), part["__places"].to_pylist()) for p in sorted(places or ())], np.int64)
-            terms, keys = _word_spans(column, words, told, TERM), _word_spans(column, words, key_words(column, words), KEY)
+                told = np.array([2 * a + p for a, places in zip(words.first.tolist(), part["__places"].to_pylist()) for p in places or ()], np.int64)
+                at, size = told // 2, 1 + told % 2
+            order, keys = np.lexsort((size, at)), key_words(column, words)
+            terms, keys = _term_spans(words, data, at[order], size[order], TERM), _term_spans(words, data, keys, np.ones(len(keys), np.int64), KEY)
             spans = []
             for i, text in enumerate(texts):
                 own = base_spans(text)
-                # a word inside a base span is covered by it
-                spans.append(sorted(own + [s for s in [*terms.get(i, ()), *keys.get(i, ())] if not any(a <= s[0] and s[2] <= b for a, _, b in own)]))
+                # a term inside a base span is covered by it
+                spans.append(sorted(own + _not_inside([*terms.get(i, ()), *keys.get(i, ())], own)))
             columns = [*(part[c] for c in keep), pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans], _SPAN_TYPE)]
             if clean:
                 columns.append(pa.array([cleaned(t, s) for t, s in zip(texts, spans)], pa.string()))
@@ -277,7 +311,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: b
     if told is not None:
         return docs.select(*keep, text.alias("__text")).mapInArrow(_marked(spark.sparkContext.broadcast(told), keep, clean), schema)
     found = rows.mapInArrow(_places, "term long, row_id long, place long").join(revealing, "term")
-    lists = found.groupBy("row_id").agg(F.collect_list("place").alias("__places"))  # no more than a text has words
+    lists = found.groupBy("row_id").agg(F.collect_list("place").alias("__places"))  # no more than a text has terms
     held = numbered(docs.select(*keep, text.alias("__text")), "__row").join(lists.withColumnRenamed("row_id", "__row"), "__row", "left")
     return held.select(*keep, "__text", "__places").mapInArrow(_marked(None, keep, clean), schema)
 

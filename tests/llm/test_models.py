@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -162,23 +163,24 @@ def test_personal_data(stored):
     assert sorted(((r["doc_id"], base(r["spans"])) for r in found), key=key) == want
     clean = {r["doc_id"]: r["clean_text"] for r in found}
     assert clean[6000] == "☃ write <email> or <phone>"
-    assert all(clean[6100 + i].startswith("call <term> at <email> ") for i in range(5))
+    assert all(clean[6100 + i].startswith("<term> <email> ") for i in range(5))
     assert all(clean[6200 + i] == dict(docs)[6200 + i] for i in range(30))
     assert private_data.personal_data(stored([], name="none")).count() == 0
 
 
 def disclosing(docs):
-    """The plain rule: which words reveal which entities, as (word, entity)."""
+    """The plain rule: which words and pairs of words reveal which entities, as (term, entity)."""
+    pairs = lambda side: [*side, *(f"{a} {b}" for a, b in zip(side, side[1:]))]
     key = re.compile("[A-Za-z0-9]{20,}")
     met, has, distinct = {}, {}, {}
     for n, text in enumerate(docs):
         found = [(m.start(), m.end(), w) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text)) for w in [m[0]]]
-        for _, _, w in found:
-            has.setdefault(w, set()).add(n)
+        for t in pairs([w for _, _, w in found]):
+            has.setdefault(t, set()).add(n)
         spans = [(a, b, k) for a, k, b in private_data.base_spans(text)]
         spans += [(a, b, private_data.KEY) for a, b, w in found if key.fullmatch(w) and re.search("[0-9]", w) and re.search("[a-z]", w)]
         for a, b, kind in spans:
-            near = [w for _, y, w in found if y <= a][-private_data.NEAR :] + [w for x, _, w in found if x >= b][: private_data.NEAR]
+            near = pairs([w for _, y, w in found if y <= a][-private_data.NEAR :]) + pairs([w for x, _, w in found if x >= b][: private_data.NEAR])
             for entity in private_data.entities_of(text[a:b].lower(), kind):
                 for w in near:
                     met.setdefault((w, entity), set()).add(n)
@@ -202,13 +204,37 @@ def test_disclosing_terms(stored, monkeypatch, block):
     want = disclosing(texts)
     rows = stored([(i, t) for i, t in enumerate(texts)])
     found = private_data.revealing_terms(private_data.numbered(rows)).collect()
-    word_of = {int(h.view(np.int64)): w for w in {x for t in texts for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(t))} for h in private_data.words_of(pa.array([w]), private_data.ALNUM).hash}
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    hashes = lambda *w: private_data._terms_by_text(private_data.words_of(pa.array([" ".join(w)]), private_data.ALNUM))[0].view(np.int64)
+    lists = [re.findall(word, brute.lower(t)) for t in texts]
+    term_of = {int(hashes(w)[0]): w for own in lists for w in own} | {int(hashes(a, b)[2]): f"{a} {b}" for own in lists for a, b in zip(own, own[1:])}
     entities = {private_data._entity(e): e for _, e in want}
-    assert {(word_of[r["term"]], entities.get(r["entity"])) for r in found} == want
-    assert {"token", "zorblatt", "desk"} <= {w for w, _ in want}
-    marked = {r["doc_id"]: {t[s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == private_data.TERM} for r in private_data.personal_data(rows).collect() for t in [texts[r["doc_id"]]]}
+    assert {(term_of[r["term"]], entities.get(r["entity"])) for r in found} == want
+    assert {"token", "zorblatt", "desk", "ring desk"} <= {w for w, _ in want} and "ring" not in {w for w, e in want if e == "phone"}
     terms = {w for w, _ in want}
-    assert all("token" in marked[i] for i in range(120, 126)) and all(found <= terms for found in marked.values())
+    marked = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == private_data.TERM] for r in private_data.personal_data(rows).collect()}
+    for i, text in enumerate(texts):
+        places = [m.span() for m in re.finditer(word, brute.lower(text))]
+        own = sorted([(a, z) for (a, z), w in zip(places, lists[i]) if w in terms] + [(a, z) for (a, _), (_, z), v, w in zip(places, places[1:], lists[i], lists[i][1:]) if f"{v} {w}" in terms])
+        runs = []
+        for a, z in own:
+            if runs and a < runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(z, runs[-1][1]))
+            else:
+                runs.append((a, z))
+        base = private_data.base_spans(text)
+        assert marked[i] == [(a, z) for a, z in runs if not any(x <= a and z <= y for x, _, y in base)]
+
+
+def test_many_spans_take_linear_time():
+    text = "é write a.b@c.example token 1234567890123456789012345678ab 1.2.3.4 " * 75_000
+    batch = pa.record_batch([pa.array([text])], ["__text"])
+    held = type("Held", (), {"value": np.sort(private_data._terms_by_text(private_data.words_of(pa.array(["token write"]), private_data.ALNUM))[0])})
+    begun = time.process_time()
+    (found,) = private_data._marked(held, (), True)([batch])
+    assert len(found["spans"][0]) == 5 * 75_000 and time.process_time() - begun < 15
+    next(private_data._contexts(8)([pa.record_batch([batch["__text"], pa.array([1])], ["text", "row_id"])]))
+    assert time.process_time() - begun < 40
 
 
 def test_languages(stored):
