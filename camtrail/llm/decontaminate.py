@@ -25,8 +25,10 @@ from camtrail.llm.text_arrays import ALNUM, words_of
 
 WINDOW = 13
 RAREST = 2
-BLOCK_BYTES = 16 << 20
-BROADCAST_ROWS = 500_000
+#: Text of the items of a block: it bounds what is broadcast of them, three numbers a word.
+BLOCK_BYTES = 4 << 20
+#: So many alignments, with their documents, are broadcast at most; more are joined by a shuffle.
+BROADCAST_ALIGNMENTS = 500_000
 _INDEX_SCHEMA = "term long, row_id long, positions array<int>"
 _HIT_SCHEMA = "row_id long, n_hit long, items array<string>"
 
@@ -130,7 +132,8 @@ def alignments(index: DataFrame, chosen: list[tuple[int, int, int]], items: Item
     An alignment is kept where as many postings meet as its windows look up at least.
     """
     spark = index.sparkSession
-    looked = F.broadcast(spark.createDataFrame(chosen, "term long, item int, offset int"))  # no more rows than the block has words
+    columns = [pa.array(c, t) for c, t in zip(zip(*chosen) if chosen else ((), (), ()), (pa.int64(), pa.int32(), pa.int32()))]
+    looked = F.broadcast(spark.createDataFrame(pa.table(columns, ["term", "item", "offset"])))  # no more rows than the block has words
     least = min([rarest, *map(len, items.words)])
     met = (
         index.where("term is not null").join(looked, "term")
@@ -178,7 +181,7 @@ def exact_matches(docs: DataFrame, found: DataFrame, items: Items, window: int =
             rows, flat, names = zip(*out) if out else ((), (), ())
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["row_id", "ranges", "items"])
 
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (found.agg(F.sum(1 + F.size("alignments"))).first()[0] or 0) <= BROADCAST_ALIGNMENTS
     pairs = docs.select("row_id", "text").join(F.broadcast(found) if few else found, "row_id")
     return pairs.mapInArrow(run, "row_id long, ranges array<long>, items array<string>")
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A file has fewer rows than 2 to this power.
 FILE_ROWS_BITS = 40
+#: Paths of files are broadcast up to so many bytes; longer lists are joined by a shuffle.
+MOST_PATH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,9 @@ def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     if len(paths) < 2:
         return docs.select("*", index.alias(name))
     forms = [(form, i << FILE_ROWS_BITS) for i, p in enumerate(paths) for form in {p, p.replace("file:///", "file:/", 1)}]
-    files = docs.sparkSession.createDataFrame(forms, "__path string, __first long")
-    marked = docs.select("*", path.alias("__at"), index.alias("__index")).join(F.broadcast(files), F.col("__at") == F.col("__path"), "left")
+    files = docs.sparkSession.createDataFrame(pa.table(dict(zip(("__path", "__first"), map(pa.array, zip(*forms))))))
+    few = sum(len(form.encode()) for form, _ in forms) <= MOST_PATH_BYTES
+    marked = docs.select("*", path.alias("__at"), index.alias("__index")).join(F.broadcast(files) if few else files.hint("merge"), F.col("__at") == F.col("__path"), "left")
     number = F.coalesce(F.col("__first"), F.raise_error(F.lit("a file that wasn't listed")).cast("long")) + F.col("__index")
     return marked.withColumn(name, number).drop("__at", "__index", "__path", "__first")
 

@@ -27,6 +27,10 @@ from camtrail.llm.tables import numbered
 SCALE = 1024
 STEPS = 256
 QUERY_BLOCK = 8192
+#: So many pairs of a query and a row to be read exactly are broadcast to where the vectors are; with more, vectors are shuffled.
+BROADCAST_PAIRS = 1 << 20
+#: A task drops candidates that its best scores rule out by now whenever so many more are held.
+HELD_CANDIDATES = 1 << 20
 _TILE = 1 << 21
 _FILE_SCHEMA = "row_id long, vec_id long, cells binary, vector binary"
 _CANDIDATE_SCHEMA = "query int, row_id long, edge double"
@@ -82,7 +86,13 @@ def _scan(held, low: np.ndarray, step: np.ndarray, k: int):
         rows, queries = held.value
         slack = (np.abs(queries) * (step - 1)).sum(1)
         best = np.full((len(queries), k), -np.inf)
-        out: list[tuple[np.ndarray, ...]] = []
+        out, held_now, most = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0, HELD_CANDIDATES
+
+        def pruned() -> tuple[np.ndarray, ...]:
+            q, v, edges = (np.concatenate(x) for x in zip(*out))
+            keep = edges >= best.min(1)[q] - slack[q]
+            return q[keep], v[keep], edges[keep]
+
         for batch in batches:
             ids = batch["row_id"].to_numpy()
             cells = np.frombuffer(b"".join(batch["cells"].to_pylist()), np.uint8).reshape(len(ids), len(low))
@@ -93,10 +103,12 @@ def _scan(held, low: np.ndarray, step: np.ndarray, k: int):
                 best = -np.partition(-np.concatenate([best, edges], 1), k - 1, 1)[:, :k]
                 q, v = np.nonzero((edges >= best.min(1, keepdims=True) - slack[:, None]) & np.isfinite(edges))
                 out.append((q, ids[i + v], edges[q, v]))
-        if out:
-            q, v, edges = (np.concatenate(x) for x in zip(*out))
-            keep = edges >= best.min(1)[q] - slack[q]
-            yield pa.record_batch([pa.array(q[keep].astype(np.int32)), pa.array(v[keep]), pa.array(edges[keep])], ["query", "row_id", "edge"])
+                held_now += len(q)
+                if held_now > most:
+                    out = [pruned()]
+                    held_now, most = len(out[0][0]), len(out[0][0]) + HELD_CANDIDATES
+        q, v, edges = pruned()
+        yield pa.record_batch([pa.array(q.astype(np.int32)), pa.array(v), pa.array(edges)], ["query", "row_id", "edge"])
 
     return run
 
@@ -125,7 +137,12 @@ def _block(file: DataFrame, chosen: list, low: np.ndarray, step: np.ndarray, k:
         file.select("row_id", "cells").mapInArrow(_scan(held, low, step, k), _CANDIDATE_SCHEMA).withColumn("place", F.row_number().over(by_edge)), "candidates"
     )
     vectors = file.select("row_id", "vec_id", "vector")
-    scored = lambda wanted: wanted.select("query", "row_id").join(vectors, "row_id").mapInArrow(_exact(held), "query int, vec_id long, row_id long, score long")
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        pairs = written(wanted.select("query", "row_id"), "pairs")
+        few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+        return vectors.join(F.broadcast(pairs) if few else pairs, "row_id").mapInArrow(_exact(held), "query int, vec_id long, row_id long, score long")
+
     first = written(scored(candidates.where(F.col("place") <= k)), "scores")
     reached = first.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     positive = spark.createDataFrame([(i, float((np.maximum(q, 0) * (step - 1)).sum())) for i, q in enumerate(queries)], "query int, above double")

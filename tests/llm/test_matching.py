@@ -123,8 +123,10 @@ def test_decontamination_of_nothing(stored):
     assert decontaminate.contamination(stored([], name="none"), none).count() == 0
 
 
-def test_decontamination_in_blocks(stored, monkeypatch):
+@pytest.mark.parametrize("alignments", [decontaminate.BROADCAST_ALIGNMENTS, 0])
+def test_decontamination_in_blocks(stored, monkeypatch, alignments):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ALIGNMENTS", alignments)
     rng = random.Random(4)
     items = [(i, words(rng, 25, 90)) for i in range(12)]
     docs = [(i, f"{words(rng, 30, 90)} {items[i % 12][1]} {items[(i + 1) % 12][1]}") for i in range(20)]
@@ -179,8 +181,10 @@ def ranked(vectors, k=10):
     return out
 
 
-@pytest.mark.parametrize("copies", [0, 300])
-def test_top_k(stored, copies):
+@pytest.mark.parametrize("copies, pairs, held", [(0, 1 << 20, 1 << 20), (300, 1 << 20, 10), (300, 0, 1 << 20)])
+def test_top_k(stored, monkeypatch, copies, pairs, held):
+    monkeypatch.setattr(vector_search, "BROADCAST_PAIRS", pairs)
+    monkeypatch.setattr(vector_search, "HELD_CANDIDATES", held)
     rng = random.Random(7)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(350)]
     vectors += [(1000 + i, vectors[3][1]) for i in range(copies)] + [(5000, [float("nan")] * 8), (5100, [None] * 8), (5200, None), (5300, [1.0, 2.0]), (5301, [1.0, 0.5]), (5400, [])]
@@ -195,13 +199,16 @@ def test_top_k_of_few(stored, monkeypatch):
     assert vector_search.top_k(stored([], "vec_id long, embedding array<double>", name="none"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_row_numbers_do_not_follow_the_splits(spark, stored):
+def test_row_numbers_do_not_follow_the_splits(spark, stored, monkeypatch):
+    from camtrail.llm import tables
     from camtrail.llm.tables import numbered
 
     docs = stored([(i % 7, f"text {i}") for i in range(300)])
     numbers = lambda d: {r["row_id"]: (r["doc_id"], r["text"]) for r in numbered(d).collect()}
     want = numbers(docs)
     assert sorted(want.values()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    monkeypatch.setattr(tables, "MOST_PATH_BYTES", 0)  # paths too many to broadcast
+    assert numbers(docs) == want
     settings = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "0"}
     before = {k: spark.conf.get(k) for k in settings}
     try:
