@@ -100,7 +100,8 @@ def spliced(parts: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, model: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """row_id, doc_id, n_bytes and n_tokens of every row of docs (doc_id, text).
 
-    model: path of a tokenizers file that every executor can read.
+    A null or empty text has no bytes and no tokens; repeated rows are counted each; an empty table gives none. Further
+    columns, of whatever names, are ignored. docs is read from files. model: path of a tokenizers file that every executor can read.
     """
     rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     sizes = rows.select("row_id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))

@@ -188,7 +188,8 @@ def test_top_k(stored, monkeypatch, copies, pairs, held):
     rng = random.Random(7)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(350)]
     vectors += [(1000 + i, vectors[3][1]) for i in range(copies)] + [(5000, [float("nan")] * 8), (5100, [None] * 8), (5200, None), (5300, [1.0, 2.0]), (5301, [1.0, 0.5]), (5400, [])]
-    found = vector_search.top_k(stored(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    clash = "vec_id long, embedding array<double>, row_id string, score string, query string, cells string, vector string"
+    found = vector_search.top_k(stored([(*v, *"abcde") for v in vectors], clash), F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, found)) == sorted(ranked(vectors))
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import plain_mixing
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -79,6 +80,58 @@ def test_held_out_texts_change_no_score(stored):
     assert all(two[d] == pytest.approx(s, rel=1e-12) for d, s in one.items())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scores_are_those_of_the_plain_mixture(stored, seed):
+    rng = random.Random(seed)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([0, 1, 2, 15, 40, 90])))) for i in range(40)] + [(90, "never seen never seen w1 w1 new"), (91, "x x x x x x")]
+    learn = lambda d: d % 5 != 0 and d < 90
+    rows = stored(docs).withColumn("trained", F.expr("doc_id % 5 <> 0 and doc_id < 90"))
+    found = {r["doc_id"]: r["score"] for r in context_mixing.text_scores(rows.select("doc_id", "text"), F.expr("doc_id % 5 <> 0 and doc_id < 90")).collect()}
+    classes = context_mixing.fit_classes(rows.selectExpr("doc_id as row_id", "text", "trained"))
+    hashes = [context_mixing.words_of(pa.array([t]), context_mixing.NOT_SPACE).hash for _, t in docs]
+    own = [int((context_mixing._features(h) @ classes).argmax()) for h in hashes]
+    want = plain_mixing.scores([[*map(int, h), int(context_mixing.END)] for h in hashes], [learn(d) for d, _ in docs], own)
+    assert [found[d] for d, _ in docs] == pytest.approx(want, rel=1e-6)
+
+
+def plain_cosines(text, model):
+    """Cosine of a text's trigrams with each centroid, and the share of the way to its radius, by plain sums."""
+    letters = [x if chr(x).isalpha() or x >= 0x80 else 0x20 for x in (text or "").encode()]
+    letters = [0x20, *(x + 32 if 0x41 <= x <= 0x5A else x for x in letters), 0x20]
+    counts = Counter()
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        code = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)
+        counts[(code * 0x27D4EB2F & 0xFFFFFFFF) >> 19] += 1
+    vector = {f: math.log(1 + n) * model.idf[f] for f, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in vector.values()))
+    cosines = [sum(v / norm * float(w[f]) for f, v in vector.items()) for w in model.weights.T]
+    level = math.log2(len(counts))
+    radius = [r[int(level)] + (level - int(level)) * (r[min(int(level) + 1, len(r) - 1)] - r[int(level)]) for r in model.radius]
+    return cosines, [c < r for c, r in zip(cosines, radius)]
+
+
+def test_languages_are_those_of_the_nearest_centroid(stored):
+    rng = random.Random(5)
+    syllables = {"xx": ["ba", "ka", "to"], "yy": ["üm", "ön", "äsch"], "zz": ["ba", "rel", "im"]}
+    docs = [(i, "".join(rng.choices([" ", *syllables[lang]], k=rng.choice([2, 9, 60]))), lang) for i in range(240) for lang in [("xx", "yy", "zz")[i % 3]]]
+    docs += [(1000, "Strange qwrt pfgh", None), (1001, "BA 1 ka", None), (1002, "é", None), (1003, "xq" * 4000, None)]
+    rows = stored(docs, "doc_id long, text string, lang string")
+    model = language_id.fit(rows)
+    texts = [t for _, t, lang in docs if lang]
+    held = [set(f.tolist()) for f, _ in language_id._trigram_counts(pa.array(texts))]
+    assert model.idf == pytest.approx([math.log((len(texts) + 2) / (1 + sum(f in h for h in held))) + 1 for f in range(language_id.FEATURES)])
+    found = {r["doc_id"]: r for r in language_id.predict(rows, model).collect()}
+    for doc_id, text, _ in docs:
+        r = found[doc_id]
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        cosines, outside = plain_cosines(text, model)
+        assert r["score"] == pytest.approx(max(0.0, max(cosines)), abs=1e-6) and r["rejected"] == all(outside)
+        near = {model.languages[k] for k, c in zip(model.language, cosines) if c > max(cosines) - 1e-6}
+        assert r["lang_pred"] in near
+
+
 def test_scores_follow_from_the_training_texts_alone(stored, monkeypatch):
     """More training texts than the sample, held-out ones before them, in another order, in more slices."""
     docs = [(i, words(random.Random(i), 1 + i % 40, 300)) for i in range(2000)] + [(3000 + i, "one text that is copied") for i in range(300)]

@@ -55,7 +55,8 @@ def test_encode_decode(stored):
 @pytest.mark.parametrize("chunk, overlap", [(16_384, 512), (300, 40), (50, 3)])
 def test_counts(stored, chunk, overlap):
     docs = corpus() + [(0, "again"), (0, "again"), (None, None)]
-    found = token_counts.token_counts(stored(docs), PATH, chunk, overlap).collect()
+    clash = "doc_id long, text string, row_id string, n_bytes string, k string, n_tokens string"
+    found = token_counts.token_counts(stored([(*d, *"abcd") for d in docs], clash), PATH, chunk, overlap).collect()
     key = lambda r: tuple((x is None, x) for x in r)
     want = sorted(((d, len((t or "").encode()), len(ids_of(t))) for d, t in docs), key=key)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in found), key=key) == want
@@ -68,7 +69,8 @@ def test_counts_of_nothing(stored):
 def test_files(spark, stored, tmp_path):
     docs = corpus()
     path = str(tmp_path / "tokens")
-    token_files.write_tokens(stored(docs), path, PATH, partitions=5)
+    clash = "doc_id long, text string, part string, part_start string, ids string, n_tokens string"
+    token_files.write_tokens(stored([(*d, *"abcd") for d in docs], clash), path, PATH, partitions=5)
     found = {r["doc_id"]: r for r in token_files.token_digests(token_files.read_tokens(spark, path)).collect()}
     start = 0
     for doc_id, text in sorted(docs):
