@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from camtrail import adapter
+from camtrail import adapter, engine_queries
 from camtrail.config import EngineConfig
 from camtrail.functions.labels import demo_label, knowledge_key
 from camtrail.functions.numbers import clipped, corners, rounded
@@ -244,4 +244,4 @@ QUERIES = {
         knowledge_lookup, knowledge_labels, review_level, headline_insight, result_table, result_table_outer, media_type_route, record_counts, record_rows,
         recent_results, latest_record, latest_record_of_none, history_upsert, exact_rounding, preview_source, session_summary, json_props_parse, origin_list_split, plant_library, demo_media,
     )
-}
+} | engine_queries.QUERIES

@@ -77,7 +77,54 @@ def _over(query: str, more: str = "") -> str:
 _FIRST = "records r LEFT JOIN placed p ON r.media_id = p.media_id AND p.position = 0"
 _ANIMALS = _texts((a[0], a[1], a[2]) for a in reference_data.ANIMALS)
 
+#: What the fallback models make of an image by its number: half the image each way, 0.88; the classifier 0.5, or a demo label.
+_IMAGES = """, images AS (
+  SELECT media_id, source_name, demo_label, CAST(substr(media_id, 2) AS BIGINT) AS k FROM media WHERE media_type = 'image'
+), analysed AS (
+  SELECT *, CASE WHEN demo_label = 'empty' THEN 'empty scene' WHEN k % 11 = 0 THEN 'not opened' ELSE 'opened' END AS status,
+    400 + k % 300 AS w, 300 + k % 200 AS h, CASE WHEN demo_label IS NULL THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.88 AS DOUBLE) END AS confidence, coalesce(demo_label, '未知动物') AS label FROM images
+)"""
+_HISTORY = f""", stored AS (
+  SELECT media_id, media_type, n_detections, message, epoch_us(saved_at) AS saved FROM records
+), versions AS (
+  SELECT * FROM stored UNION ALL SELECT media_id, media_type, n_detections, 'again', saved + 86400000000 FROM stored WHERE media_type = 'image'
+  UNION ALL SELECT media_id, media_type, n_detections, 'between', saved + 43200000000 FROM stored WHERE CAST(substr(media_id, 2) AS BIGINT) % 5 = 0
+), live AS (SELECT media_id, media_type, n_detections, message, saved AS saved_at FROM versions QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY saved DESC) = 1)"""
+_SUFFIX = "coalesce(nullif(lower(regexp_extract(coalesce(source_name, ''), '[^/.][^/]*?([.][^./]+)$', 1)), ''), '.bin')"
+
 ORACLE_SQL = {
+    "uploads_named": _over(f"SELECT media_id, media_id || {_SUFFIX} AS saved_name, {_SUFFIX} AS suffix FROM media WHERE media_type = 'image'"),
+    "image_inference": _over(f"""SELECT media_id, status, CASE WHEN status = 'opened' THEN 1 ELSE 0 END AS n_detections, CASE WHEN status = 'opened' THEN label END AS label, CASE WHEN status = 'opened' THEN confidence END AS confidence,
+  CASE WHEN status = 'opened' THEN (w // 4) || ',' || (h // 4) || ',' || (w // 2) || 'x' || (h // 2) END AS box,
+  CASE WHEN status <> 'opened' THEN '{summary.NOTHING_FOUND}' WHEN demo_label IS NULL THEN '{summary.NO_CLASSIFIER}' ELSE '{summary.DEMO_ONLY}' END AS message FROM analysed""", _IMAGES),
+    "image_files": _over("""SELECT media_id || '_annotated.jpg' AS name, CASE WHEN status = 'opened' AND demo_label IS NOT NULL THEN label || ' 88%' ELSE '-' END AS content FROM analysed WHERE k % 11 <> 0
+UNION ALL SELECT media_id || '_00000000_0.jpg', (w // 2) || 'x' || (h // 2) FROM analysed WHERE status = 'opened' AND demo_label IS NOT NULL""", _IMAGES),
+    "video_inference": f"""WITH {_VIDEOS.strip()}, numbered AS (
+  SELECT *, CAST(substr(media_id, 2) AS BIGINT) AS k, CAST(trunc(fps) AS BIGINT) AS every FROM videos
+), frames AS (
+  SELECT media_id, k, fps, u.i FROM numbered, unnest(range(0, least(n, every * 90), every)) AS u(i) WHERE k % 11 <> 0
+), ends AS (
+  SELECT media_id, min(i) AS ended_at FROM frames WHERE k % 3 = 0 AND i > k % 500 GROUP BY media_id
+), good AS (
+  SELECT f.media_id, count(*) AS n, max(i) AS last, max(fps) AS fps FROM frames f LEFT JOIN ends e ON f.media_id = e.media_id WHERE ended_at IS NULL OR i < ended_at GROUP BY f.media_id
+)
+SELECT v.media_id, CASE WHEN k % 11 = 0 THEN 'not opened' WHEN ended_at IS NOT NULL THEN 'ended early' ELSE 'opened' END AS status, ended_at, coalesce(g.n, 0) AS n_detections,
+  '/media/crops/' || v.media_id || '_' || lpad(CAST(CAST(trunc(round(CAST(last AS DOUBLE) / g.fps, 2) * 1000) AS BIGINT) AS VARCHAR), 8, '0') || '_0.jpg' AS last_crop
+FROM numbered v LEFT JOIN ends e ON v.media_id = e.media_id LEFT JOIN good g ON v.media_id = g.media_id""",
+    "image_headers": _over("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'png' ELSE 'jpeg' END AS image_format,
+  CAST(CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 1 ELSE 1 + event_id % 8 END AS INTEGER) AS orientation, CASE WHEN event_id % 13 = 0 THEN 'broken' ELSE 'read' END AS header_status,
+  CASE WHEN event_id % 13 <> 0 THEN greatest(0, x) END AS x1, CASE WHEN event_id % 13 <> 0 THEN greatest(0, y) END AS y1,
+  CAST(CASE WHEN event_id % 13 <> 0 THEN least(CASE WHEN turned THEN h ELSE w END, x + width) END AS INTEGER) AS x2, CAST(CASE WHEN event_id % 13 <> 0 THEN least(CASE WHEN turned THEN w ELSE h END, y + height) END AS INTEGER) AS y2
+FROM (SELECT *, 100 + event_id % 1500 AS w, 80 + event_id % 900 AS h, event_id % 2 = 1 AND event_id % 8 >= 4 AS turned FROM predictions)"""),
+    "video_headers": f"""WITH {_VIDEOS.strip()} SELECT media_id, CAST(step AS INTEGER) AS step, least(90, CAST(ceil(CAST(n AS DOUBLE) / step) AS BIGINT)) AS n_frames, ceil(CAST(n AS DOUBLE) / step) > 90 AS capped FROM stepped""",
+    "json_round_trip": _over("""SELECT r.media_id, r.media_type, CASE WHEN r.media_type = 'image' THEN '/media/uploads/' || r.media_id || '_annotated.jpg' END AS preview_url, r.n_detections, coalesce(n_species, 0) AS n_species, r.message
+FROM records r LEFT JOIN (SELECT media_id, count(DISTINCT species_label) AS n_species FROM kept GROUP BY media_id) d ON r.media_id = d.media_id
+WHERE CAST(substr(r.media_id, 2) AS BIGINT) % 7 <> 0 AND CAST(substr(r.media_id, 2) AS BIGINT) % 5 <> 0""", _MESSAGES),
+    "history_live": _over("SELECT media_id, media_type, n_detections, message, saved_at FROM live", _MESSAGES + _HISTORY),
+    "history_recent": _over("SELECT media_id, message, saved_at FROM live ORDER BY saved_at DESC, media_id LIMIT 25", _MESSAGES + _HISTORY),
+    "point_read": _over("SELECT media_id, message FROM live WHERE media_id = (SELECT media_id FROM stored ORDER BY saved, media_id LIMIT 1)", _MESSAGES + _HISTORY),
+    "engine_status": _over("""SELECT media_type, count(*) AS n, 'ok' AS status,
+  '{"classifier": "fallback-classifier", "classifier_detail": "no model is configured", "detector": "fallback-detector", "detector_detail": "no model is configured"}' AS models FROM media GROUP BY media_type"""),
     "detector_gate": _over("SELECT event_id, media_id, det_index, det_conf FROM seen WHERE det_conf >= CAST(0.35 AS DOUBLE)"),
     "combined_gate": _over("SELECT event_id, media_id, species_label, confidence FROM kept"),
     "combined_gate_include_low": _over("SELECT event_id, media_id, species_label, confidence FROM combined"),

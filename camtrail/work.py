@@ -22,10 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/camtrail-shared"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder's path, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """df computed once, as a table that survives lost executors; it goes when the driver ends."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((df.sparkSession, path))
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
