@@ -3,25 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
+from camtrail.work import file_system, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        folder = f"file://{tempfile.gettempdir()}/camtrail-shared"
-    return folder.rstrip("/")
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -72,8 +62,8 @@ def free_but_last(mark: int) -> None:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = file_system(spark, path)
+    system.delete(target, True)
 
 
 @atexit.register
