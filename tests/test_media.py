@@ -46,6 +46,11 @@ def test_files_are_those_that_results_name(spark, tmp_path):
     assert json.loads((tmp_path / "files" / "i_annotated.jpg").read_text()) == [] == json.loads((tmp_path / "files" / "e_annotated.jpg").read_text())
 
 
+def test_a_sink_takes_paths_alone():
+    with pytest.raises(ValueError, match="hdfs"):
+        FolderSink("hdfs://store/crops")
+
+
 def test_videos_have_crops_and_no_previews(spark, tmp_path):
     log = tmp_path / "opened"
 
