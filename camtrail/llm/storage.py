@@ -49,18 +49,6 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """df as a written table that goes at the end of the block: what reads it has to be written by then."""
-    table = written(df, name)
-    own = _WRITTEN[-1]
-    try:
-        yield table
-    finally:
-        _WRITTEN.remove(own)
-        _remove(*own)
-
-
 def written_so_far() -> int:
     """A mark for free_but_last()."""
     return len(_WRITTEN)
