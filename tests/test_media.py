@@ -222,3 +222,12 @@ def test_sampling_from_the_container(spark, tmp_path):
     want = sampled_frames(spark.createDataFrame([(m, *v, 1.0) for m, v in given.items() if v], schema)).collect()
     got = sampled_frames(spark.createDataFrame([(r["media_id"], r["reported_fps"], r["frame_count"], 1.0) for r in read], schema)).collect()
     assert sorted(got) == sorted(want) and len(got) > 15
+
+
+def test_detections_never_leave_their_media(spark, tmp_path):
+    """One split of videos is inferred by many tasks, and no shuffle moves detections."""
+    media = spark.createDataFrame([(f"v{i}", "a.mp4", 0.0, 100 + i) for i in range(64)], VIDEOS).coalesce(1)
+    found = engine(spark, tmp_path).analyze_videos(media, decode=lambda row: Sized((64, 48)), interval=1.0, with_status=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(found.inputFiles()) > 1
+    assert {r["media_id"]: len(r["detections"]) for r in found.collect()} == {f"v{i}": -(-(100 + i) // 25) for i in range(64)}
