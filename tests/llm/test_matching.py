@@ -86,6 +86,15 @@ def test_pairs_of_a_group_of_variants_grow_with_its_size(stored, monkeypatch):
         assert sum(counts) < 25 * m
 
 
+def test_entries_are_shuffled_once(spark, monkeypatch):
+    """Those of a single set are told apart where entries meet, without a second shuffle of all."""
+    monkeypatch.setattr(ngram_join, "written", lambda df, *args, **more: df)
+    entries = spark.createDataFrame([(1, 10, 5, 0, 0), (1, 11, 5, 0, 0), (2, 10, 5, 1, 1), (3, 11, 5, 1, 1)], ngram_join._ENTRY_SCHEMA)
+    shared = ngram_join._shared(entries)
+    assert shared._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(tuple(r) for r in shared.collect()) == [(1, 10, 5, 0, 0), (1, 11, 5, 0, 0)]
+
+
 def test_words_that_defeat_polynomial_hashes(stored):
     turn = str.maketrans("ab", "ba")
     word = lambda n, t="a": t if len(t) >= n else word(n, t + t.translate(turn))
