@@ -80,6 +80,18 @@ def test_held_out_texts_change_no_score(stored):
     assert all(two[d] == pytest.approx(s, rel=1e-12) for d, s in one.items())
 
 
+def test_classes_are_learned_from_all_training_texts(stored):
+    docs = [(i, f"own{i} and shared words") for i in range(3000)]
+    fitted = []
+    for files, order in ((1, docs), (3, docs[::-1])):
+        rows = stored(order, files=files, name=f"classes{files}").selectExpr("doc_id as row_id", "text", "doc_id % 10 <> 0 as trained")
+        fitted.append(context_mixing.fit_classes(rows))
+    assert (fitted[0] == fitted[1]).all()
+    learned = pa.array([t for d, t in docs if d % 10])
+    features = np.unique(context_mixing.words_of(learned, context_mixing.NOT_SPACE).hash % np.uint64(context_mixing.CLASS_FEATURES)).astype(int)
+    assert sorted(np.flatnonzero(fitted[0].sum(1))) == features.tolist()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scores_are_those_of_the_plain_mixture(stored, seed):
     rng = random.Random(seed)
