@@ -95,6 +95,20 @@ def test_entries_are_shuffled_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in shared.collect()) == [(1, 10, 5, 0, 0), (1, 11, 5, 0, 0)]
 
 
+def test_entries_drop_members_that_can_not_link(spark, monkeypatch):
+    """Sets whose sizes or places of the entry's tokens rule a link out with all others of the entry go no further; no pair that may link is lost."""
+    monkeypatch.setattr(ngram_join, "written", lambda df, *args, **more: df)
+    apart = [(1, 10, 100, 0, 0), (1, 11, 50, 0, 0), (2, 10, 100, 10, 10), (2, 11, 100, 1, 1)]
+    rng = random.Random(3)
+    rows = apart + [(e, s, size, m := rng.randrange(1 + size // 6), m) for e in range(3, 300) for s in range(rng.randrange(1, 6)) for size in (rng.randrange(20, 60),)]
+    shared = {tuple(r) for r in ngram_join._shared(spark.createDataFrame(rows, ngram_join._ENTRY_SCHEMA)).collect()}
+    may = lambda a, b: 185 * min(a[2] - a[3], b[2] - b[3]) >= 85 * (a[2] + b[2])
+    able = {a for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and may(a, b)}
+    assert able and able <= shared < set(rows) and not shared & set(apart)
+    several = {e for e in range(300) if sum(r[0] == e for r in rows) > 2}
+    assert {r for r in shared if r[0] not in several} == {r for r in able if r[0] not in several}
+
+
 def test_words_that_defeat_polynomial_hashes(stored):
     turn = str.maketrans("ab", "ba")
     word = lambda n, t="a": t if len(t) >= n else word(n, t + t.translate(turn))
