@@ -244,3 +244,31 @@ def test_row_numbers_do_not_follow_the_splits(spark, stored, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rounds_shuffle_members_of_entries_once_and_no_join_makes_them_again(stored, spark, monkeypatch):
+    """Members learn their entry's components and leader in one shuffle by entry; entries of two are settled by one comparison."""
+    plans, kept = {}, ngram_join.written
+
+    def written(df, name, **more):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name, **more)
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    classes = spark.createDataFrame([(s, s) for s in range(1, 8)], "sid long, row_id long")
+    found = ngram_join._Grouping(classes, None)
+    found.labels = stored([(s, 1 if s < 4 else s) for s in range(1, 8)], "sid long, component long", name="labels")
+    members = {1: (1, 2, 3), 2: (1, 2, 4, 5), 3: (6, 7), 4: (2, 3, 6)}
+    entries = stored([(e, s, 10, 0, 0) for e, sids in members.items() for s in sids], ngram_join._ENTRY_SCHEMA, name="entries")
+    left = found.unsettled(entries, 1, least=3)
+    assert {(r["entry"], r["sid"], r["component"], r["largest"], r["members"], r["outside"]) for r in left.collect()} == {
+        (2, 1, 1, 1, 4, 2), (2, 2, 1, 1, 4, 2), (2, 4, 4, 1, 4, 2), (2, 5, 5, 1, 4, 2), (4, 2, 1, 1, 3, 1), (4, 3, 1, 1, 3, 1), (4, 6, 6, 1, 3, 1),
+    }
+    leaders = {(r["entry"], r["leader"]["sid"]) for r in left.collect()}
+    assert len(leaders) == 2 and leaders <= {(2, 1), (2, 2), (4, 2), (4, 3)}
+    assert {r["entry"] for r in found.unsettled(entries, 1).collect()} == {2, 3, 4}
+    assert all(p.count("hashpartitioning(entry") == 1 and "hashpartitioning(entry#" in p and "Join [entry" not in p for p in plans["left"])
+    pairs = ngram_join._leaders(left, 85)
+    assert {b for _, b in pairs.collect()} == {4, 5, 6} and "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    first = ngram_join._leaders(ngram_join._led(entries.withColumn("component", F.col("sid")), 0, F.lit(True)), 85)
+    assert first.count() == 2 + 3 + 1 + 2 and "Join" not in first._jdf.queryExecution().executedPlan().toString()
