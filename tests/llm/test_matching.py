@@ -86,6 +86,31 @@ def test_pairs_of_a_group_of_variants_grow_with_its_size(stored, monkeypatch):
         assert sum(counts) < 25 * m
 
 
+@pytest.mark.parametrize("broadcast", [ngram_join.BROADCAST_ROWS, 20])
+def test_common_passages_index_their_texts_again_and_extend_nothing(stored, monkeypatch, broadcast):
+    """Passages that no batch holds often enough to tell: their shingles pass for rare, and all texts with one meet there."""
+    monkeypatch.setattr(ngram_join, "LOCAL", 10**9)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", 100)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    extended = []
+    monkeypatch.setattr(ngram_join, "_extended", lambda *args: extended.append(args))
+    rng = random.Random(3)
+    passages = [words(rng, 14, 5000).split() for _ in range(3)]
+    docs = []
+    for i in range(120):
+        own = words(rng, 30, 10**6).split()
+        docs.append((i, " ".join([*own[:9], *passages[i % 3], *own[9:]])))
+    for i in range(0, 120, 5):  # near copies, and copies
+        text = docs[i][1].split()
+        text[rng.randrange(len(text))] = f"v{i}"
+        docs += [(1000 + i, " ".join(text)), (2000 + i, docs[i][1])]
+    found = ngram_join.jaccard_components(stored(docs)).collect()
+    want = [(d, *r) for (d, _), r in zip(docs, brute.linked(docs, 4, 85))]
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(want)
+    assert not extended
+
+
 def test_entries_are_shuffled_once(spark, monkeypatch):
     """Those of a single set are told apart where entries meet, without a second shuffle of all."""
     monkeypatch.setattr(ngram_join, "written", lambda df, *args, **more: df)
