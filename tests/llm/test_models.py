@@ -70,6 +70,67 @@ def test_probabilities_of_a_slice_sum_to_one_at_most():
     assert context_mixing.tree_scores(tree[:1], counts[:1], 3).tolist() == [[0.0] * context_mixing.CLASSES]
 
 
+def test_trees_predict_each_node_once(monkeypatch):
+    """Not once a word below it, nor again at each level below the first one at which a word is alone."""
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    counts = rng.integers(0, 4, (len(words), context_mixing.CLASSES)) + 1
+    want, plain, calls = context_mixing.tree_scores(words, counts, 2), context_mixing._stretch, []
+    monkeypatch.setattr(context_mixing, "_stretch", lambda part, whole: calls.append(len(part)) or plain(part, whole))
+    assert (context_mixing.tree_scores(words, counts, 2) == want).all()
+    crowded = sum(len(np.unique(words >> np.uint64(63 - bit))) for bit in range(2, 15) if len(np.unique(words >> np.uint64(64 - bit))) < len(words))
+    assert sum(calls) <= 2 * context_mixing.CLASSES * (1 + context_mixing.PASSES) * (crowded + len(words))
+    assert sum(calls) < 0.6 * 2 * context_mixing.CLASSES * (1 + context_mixing.PASSES) * 13 * len(words)
+
+
+def test_sums_of_a_slices_prefixes():
+    rng = np.random.default_rng(6)
+    prefixes = np.array([0, 1, 5, 7], np.uint64) << np.uint64(64 - context_mixing.TREE_BITS)
+    words = np.unique(np.concatenate([p + rng.integers(0, 1 << 40, 20, dtype=np.uint64) for p in prefixes]))
+    known = rng.integers(0, 3, (context_mixing.CLASSES, len(words))).astype(np.uint8)
+
+    def answered(known):
+        columns = {"kind": [context_mixing.WORDS], "slice": [0], "block": [3], "first": [0], "last": [9], "hashes": [context_mixing._packed(words)], "known": [known.tobytes()], "n": pa.array([None], pa.binary())}
+        return next(r for r in context_mixing._answered(4)(pa.table(columns)).to_pylist() if r["kind"] == context_mixing.STATS)["stats"]
+
+    total, below = known.sum(0), words >> np.uint64(64 - context_mixing.TREE_BITS)
+    want = [x for p in np.unique(below) if (total[below == p] > 0).any() for x in (int(p), *known[:, below == p].sum(1).tolist())]
+    assert answered(known) == [int((total > 0).sum()), int((total == 1).sum()), *want]
+    assert answered(known * 0) == [0, 0]
+
+
+def test_texts_are_mixed_as_if_alone():
+    """Whatever texts are dealt with together: short, long and of whole steps, each gets what a plain loop over its steps gives."""
+    rng = np.random.default_rng(7)
+    sizes = np.array([1, 16, 17, 300, 2, 32, 299, 16])
+    n, first = sizes.sum(), np.cumsum(sizes) - sizes
+    seen = rng.integers(0, 30, (n, len(context_mixing.HALF_SEEN)))
+    plain, chance = -9 * rng.random(n), rng.random(seen.shape) * (seen > 0)
+    found = context_mixing.mixed_logs(plain, seen, chance, first, sizes)
+    p, start = np.column_stack([np.exp(plain), chance]), np.column_stack([np.ones(n), seen / (seen + context_mixing.HALF_SEEN)])
+    for a, size, got in zip(first, sizes, found):
+        moved, total = np.zeros(p.shape[1]), 0.0
+        for low in range(a, a + size, context_mixing.STEP_WORDS):
+            x = slice(low, min(low + context_mixing.STEP_WORDS, a + size))
+            weight = start[x] * np.exp(moved)
+            weight /= weight.sum(1, keepdims=True)
+            joint = weight * p[x]
+            total += np.log(joint.sum(1)).sum()
+            moved = np.clip(moved + context_mixing.RATE * (joint / joint.sum(1, keepdims=True) - weight).sum(0), -8, 8)
+        assert got == pytest.approx(total, rel=1e-12)
+    assert (context_mixing.mixed_logs(plain[:1], seen[:1], chance[:1], first[:1], sizes[:1]) == found[:1]).all()
+    assert context_mixing.mixed_logs(plain[:0], seen[:0], chance[:0], first[:0], sizes[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("most", [40, 1 << 61])
+def test_what_came_before(most):
+    keys = np.random.default_rng(8).integers(0, 40, 500) * (most // 40)
+    before, order, new = context_mixing._before(keys)
+    assert before.tolist() == [int((keys[:i] == k).sum()) for i, k in enumerate(keys)]
+    assert (order == np.argsort(keys, kind="stable")).all() and new.sum() == len(set(keys.tolist()))
+    assert [len(x) for x in context_mixing._before(keys[:0])] == [0, 0, 0]
+
+
 def test_held_out_texts_change_no_score(stored):
     docs = [(i, words(random.Random(i), 40, 200)) for i in range(60)]
     held = [(1000 + i, words(random.Random(i), 40, 300)) for i in range(20)]
